@@ -4,17 +4,18 @@ Each document is its set of distinct 5-word shingles; documents with the same se
 b have Jaccard similarity 3/4 or more exactly if they differ in at most (a+b)/7 elements, and then b <= 4a/3. Sets are
 dealt into size bands (overlapping, so that any two linkable sizes share one); each band cuts the feature domain into a
 fixed number of partitions by hash, and a set's signature for a partition is the hash of its elements there. Differences
-can spoil at most k partitions, k being the largest difference to any partner, so of more than k signatures one
-survives. A set gives its k + max(8, k/2) + 1 smallest non-empty signatures in one global order: two linked sets then
-have at least `slack` (given signatures less k) of them in common, the smaller slack of the two.
+can spoil at most k partitions, k being the largest difference to any partner, so of its N non-empty signatures at
+least slack = N - k survive in any linked set. (Sets of under 64 elements take the finest partition, one feature each.)
 
 Signatures travel packed, bucket by bucket. A signature in at most GROUP nodes gives its pairs with counts; pairs whose
-counts reach their slack are verified. A signature in more nodes gives no pairs: each of its nodes loses one from its
-slack instead, which keeps the guarantee exact as long as the slack stays positive. Nodes whose slack is used up (large
-groups of near copies) go through pivots: each crowded signature names its smallest node, everything in the crowd is
-compared with it, and what is within the threshold belongs to it. Two members of different pivots can only be linked
-if their pivots are at Jaccard distance 3/4 or less (triangle inequality), so all other cross pairs are ruled out by
-one comparison of pivots. Nothing is dropped and no group is expanded into all its pairs.
+counts reach the slack of both are verified. A signature in more nodes gives no pairs: each of its nodes loses one from
+its slack instead, which keeps the guarantee exact as long as the slack stays positive. Nodes whose slack is used up
+(members of large groups of near copies) are dealt out once more, by themselves and by the finest partition; nodes that
+stay used up can now only be linked if the smaller number of their crowded elements reaches 3(a+b)/7. They go through
+pivots: each crowded signature names its most crowded node, what can be linked to it is compared with it, and what is
+linked belongs to it; what is left names four times as many, and so on. Two members of different pivots can only be
+linked if their pivots are at Jaccard distance 3/4 or less (triangle inequality), and need to be compared only if their
+components are still apart. Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .cluster import RowFilter, buckets, materialize
 from .components import components
@@ -45,29 +47,33 @@ def bands(size: int) -> list[int]:
     return [j, j - 1] if j and size <= 4 * 4**j else [j]
 
 
-def partitions(band: int) -> int:
-    """So many that a set meets far more partitions than differences can spoil: at the top size as many as elements."""
-    return 1 << 16 if band == 0 else 16 * 4**band
+def partitions(band: int) -> int | None:
+    """Partitions of the feature domain in a band; None: as fine as can be, every feature is its own. At the top size of
+    a band a set meets half as many partitions as it has elements, well over the third that differences can spoil."""
+    return None if band < 2 else 11 * 4**band
 
 
-def signatures(elements: np.ndarray, band: int) -> tuple[np.ndarray, int]:
-    """The signatures that a sorted set gives in a band, and their slack."""
+def signatures(elements: np.ndarray, band: int, fine: bool = False) -> tuple[np.ndarray, int]:
+    """The non-empty signatures of a sorted set in a band, and how many of them any linked set has too.
+
+    Linked sets of sizes n and m differ in (n+m)/7 elements at most, m <= 4n/3, and each spoils one partition at most.
+    Where every feature is a partition, only the n/4 elements that the other set can lack spoil one.
+    """
     n = len(elements)
-    k = (n + 4 * n // 3) // 7
-    parts = partitions(band)
+    parts = None if fine else partitions(band)
+    if parts is None:
+        return mix(elements + U64(band + 1)) & ~_INST | U64(band), n - n // 4
     part = ((elements >> U64(32)) * U64(parts)) >> U64(32)
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     sig = mix(np.add.reduceat(mix(elements), starts) + (part[starts] + U64(1)) * U64(0xC2B2AE3D27D4EB4F))
-    sig = np.sort(sig & ~_INST | U64(band))
-    give = min(len(sig), k + max(8, k // 2) + 1)
-    return sig[:give], give - k
+    return sig & ~_INST | U64(band), len(starts) - (n + 4 * n // 3) // 7
 
 
 def node_of(elements: np.ndarray) -> int:
     return mix_one(int(np.bitwise_xor.reduce(mix(elements + U64(1)))) + len(elements) * 0x9E3779B97F4A7C15) if len(elements) else 0
 
 
-def _pack(batches, n_buckets: int):
+def _pack(batches, n_buckets: int, fine: bool):
     """From (key, text) batches: a base row for each document, and packed signatures for each bucket."""
     for batch in batches:
         keys, nodes, sizes, seen = batch.column(0), [], [], set()
@@ -82,7 +88,7 @@ def _pack(batches, n_buckets: int):
                 if len(s) >= 3 and node not in seen:
                     seen.add(node)
                     for band in bands(len(s)):
-                        sig, slack = signatures(s, band)
+                        sig, slack = signatures(s, band, fine)
                         sigs.append(sig)
                         owner.append(len(nodes) - 1)
                         slacks.append(slack)
@@ -147,7 +153,7 @@ def _pairs(sig, node, size, slack, group: int):
             left.append((s[:, None] + i).ravel())
             right.append((s[:, None] + j).ravel())
     big = np.repeat(length > group, length)
-    crowd = (sig[big], node[big], slack[big])
+    crowd = (sig[big], node[big], size[big], slack[big])
     if not left:
         return None, crowd
     left, right = np.concatenate(left), np.concatenate(right)
@@ -172,12 +178,12 @@ def _reduce(table: pa.Table, group: int) -> pa.Table:
     out = [[np.full(base.num_rows, 1, np.int32), base.column("x").combine_chunks(), base.column("y").combine_chunks(), None, base.column("n").combine_chunks(), None, None]]
     packed = table.filter(pa.array(kind == 0)).column("payload")
     if len(packed):
-        pairs, (crowd_sig, crowd_node, crowd_slack) = _pairs(*_unpack(packed), group)
+        pairs, (crowd_sig, crowd_node, crowd_size, crowd_slack) = _pairs(*_unpack(packed), group)
         if pairs:
             a, b, inst, count, sa, sb = pairs
             out.append([np.full(len(a), 2, np.int32), signed(a), signed(b), inst, count, sa, sb])
         if len(crowd_sig):
-            out.append([np.full(len(crowd_sig), 3, np.int32), signed(crowd_sig), signed(crowd_node), (crowd_sig & _INST).astype(np.int32), None, crowd_slack, None])
+            out.append([np.full(len(crowd_sig), 3, np.int32), signed(crowd_sig), signed(crowd_node), (crowd_sig & _INST).astype(np.int32), crowd_size.astype(np.int32), crowd_slack, None])
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     names = ["kind", "a", "b", "inst", "n", "sa", "sb"]
     return pa.concat_tables(
@@ -185,6 +191,24 @@ def _reduce(table: pa.Table, group: int) -> pa.Table:
     )
 
 
+def _exchange(source: DataFrame, n: int, group: int, fine: bool) -> DataFrame:
+    packed = source.mapInArrow(lambda batches: _pack(batches, n, fine), _PACKED)
+    return materialize(packed.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda table: _reduce(table, group), _FOUND), "signatures")
+
+
+def _candidates(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to verify, and (sig, node, n, lost) of nodes whose slack the crowded signatures have used up."""
+    crowd = found.where("kind = 3").select(F.col("a").alias("sig"), F.col("b").alias("node"), "inst", "n", "sa")
+    lost = materialize(crowd.groupBy("node", "inst").agg(F.count("*").alias("lost"), F.max("sa").alias("slack")), "lost")
+    pairs = found.where("kind = 2").groupBy("a", "b", "inst").agg(F.sum("n").alias("n"), F.max("sa").alias("sa"), F.max("sb").alias("sb"))
+    for side in "ab":
+        pairs = pairs.join(lost.select(F.col("node").alias(side), "inst", F.col("lost").alias("l" + side)), [side, "inst"], "left")
+    enough = F.greatest(F.col("sa") - F.coalesce("la", F.lit(0)), F.col("sb") - F.coalesce("lb", F.lit(0)))
+    pairs = materialize(pairs.where(F.col("n") >= enough).select("a", "b").distinct(), "candidates")
+    used = lost.where("lost >= slack").select("node", "inst", "lost")
+    return pairs, materialize(crowd.join(used, ["node", "inst"]).select("sig", "node", "n", "lost"), "crowd")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """(node, text): one text for each wanted (node, rep), found by one pass over the documents."""
     sift = RowFilter(wanted, "node", hashed=True)
@@ -230,35 +254,46 @@ def _jaccard(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 LINKED = "100 * shared >= 75 * total"
 
 
-def _through_pivots(crowd: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links among nodes that only crowded signatures bring together."""
-    links, pivots, members, active = [], [], [], materialize(crowd.select("node").distinct(), "active")
+def _union(parts: list[DataFrame]) -> DataFrame:
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionAll(p)
+    return result
+
+
+def _to_pivots(crowd: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(node, pivot, shared, total) for every node that only crowded signatures bring together and each pivot that it is
+    linked to; pivots have a row of their own. Most crowded nodes, which are central to their groups, go first."""
+    found, width = [], 1
+    active = materialize(crowd.select("node").distinct(), "active")
     while active.limit(1).count():
         here = materialize(crowd.join(active, "node", "left_semi"), "crowd")
-        named = here.groupBy("sig").agg(F.min("node").alias("a"))
-        asked = materialize(here.join(named, "sig").select("a", F.col("node").alias("b")).distinct(), "asked")
-        new_pivots = asked.where("a = b").select("a")
-        compared = materialize(_jaccard(asked.where("a <> b"), texts), "compared")
-        linked = compared.where(LINKED)
-        links.append(linked.select("a", "b"))
-        pivots.append(new_pivots)
-        members += [linked.select("a", "b", "shared", "total"), new_pivots.select("a", F.col("a").alias("b"), F.lit(1).cast("long").alias("shared"), F.lit(1).cast("long").alias("total"))]
-        done = linked.select("b").unionAll(new_pivots.select("a"))
-        active = materialize(active.join(done.withColumnRenamed("b", "node"), "node", "left_anti"), "active")
-    if not links:
-        return None
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionAll(union(parts[1:]))
-    held = union(members).groupBy("b").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("j"), "a", "shared", "total")).alias("m"))
-    held = materialize(held.select(F.col("b").alias("node"), F.col("m.a").alias("pivot"), (1 - F.col("m.j")).alias("far")), "held")
-    seats = crowd.join(held, "node").select("sig", "pivot").distinct()
-    other = seats.withColumnRenamed("pivot", "other")
-    meet = seats.join(other, "sig").where("pivot < other").select(F.col("pivot").alias("a"), F.col("other").alias("b")).distinct()
-    close = materialize(_jaccard(meet, texts).where("4 * shared >= total").select("a", "b", (1 - F.col("shared") / F.col("total")).alias("apart")), "close")
-    if close.limit(1).count():
-        one, two = held.select(F.col("node").alias("n1"), F.col("pivot").alias("a"), F.col("far").alias("f1")), held.select(F.col("node").alias("n2"), F.col("pivot").alias("b"), F.col("far").alias("f2"))
-        cross = close.join(one, "a").join(two, "b").where("apart - f1 - f2 <= 0.25 + 1e-9").select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"))
-        links.append(_jaccard(cross.distinct(), texts).where(LINKED).select("a", "b"))
-    return union(links)
+        rank = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("lost"), "node"))
+        named = here.withColumn("rank", rank).where(F.col("rank") <= width).select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("lost").alias("la"))
+        named = materialize(named, "named")
+        asked = here.join(named, "sig").where("a <> node AND 7 * least(lost, la) >= 3 * (n + na)").select("a", F.col("node").alias("b")).distinct()
+        pivots = named.select(F.col("a").alias("node")).distinct()
+        linked = materialize(_jaccard(asked, texts).where(LINKED), "linked")
+        found += [linked.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "shared", "total"), pivots.selectExpr("node", "node AS pivot", "1L AS shared", "1L AS total")]
+        active = materialize(active.join(linked.select(F.col("b").alias("node")).unionAll(pivots), "node", "left_anti"), "active")
+        width *= 4
+    return materialize(_union(found), "pivots") if found else None
+
+
+def _across_pivots(crowd: DataFrame, to_pivots: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of different pivots whose components are still apart."""
+    near = F.max(F.struct((F.col("shared") / F.col("total")).alias("j"), "pivot")).alias("m")
+    held = to_pivots.groupBy("node").agg(near).select("node", F.col("m.pivot").alias("pivot"), (1 - F.col("m.j")).alias("far"))
+    held = held.join(labels, "node", "left").select("node", "pivot", "far", F.coalesce("label", "node").alias("label"))
+    held = held.join(crowd.groupBy("node").agg(F.max("n").alias("n"), F.max("lost").alias("lost")), "node")
+    held = materialize(held, "held")
+    seats = crowd.join(held, "node").select("sig", "pivot", "label").distinct()
+    other = seats.select("sig", F.col("pivot").alias("other"), F.col("label").alias("apart"))
+    meet = seats.join(other, "sig").where("label <> apart AND pivot < other").select(F.col("pivot").alias("a"), F.col("other").alias("b")).distinct()
+    close = _jaccard(meet, texts).where("4 * shared >= total").select("a", "b", (1 - F.col("shared") / F.col("total")).alias("apart"))
+    side = lambda n, p: held.select(F.col("node").alias("n" + n), F.col("pivot").alias(p), F.col("far").alias("f" + n), F.col("lost").alias("l" + n), F.col("n").alias("s" + n))
+    cross = close.join(side("1", "a"), "a").join(side("2", "b"), "b").where("apart - f1 - f2 <= 0.25 + 1e-9 AND 7 * least(l1, l2) >= 3 * (s1 + s2)")
+    return _jaccard(materialize(cross.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct(), "cross"), texts).where(LINKED).select("a", "b")
 
 
 def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
@@ -273,37 +308,33 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
     """
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     n = buckets(source)
-    packed = source.mapInArrow(lambda batches: _pack(batches, n), _PACKED)
-    found = materialize(packed.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda table: _reduce(table, group), _FOUND), "signatures")
+    found = _exchange(source, n, group, False)
     base = found.where("kind = 1").select(F.col("a").alias(key), F.col("b").alias("node"), F.col("n").alias("n_shingles"))
     nodes = materialize(base.groupBy("node").agg(F.min(key).alias("rep"), F.max("n_shingles").alias("n")), "nodes")
-    crowd = found.where("kind = 3").select(F.col("a").alias("sig"), F.col("b").alias("node"), "inst", "sa")
-    lost = materialize(crowd.groupBy("node", "inst").agg(F.count("*").alias("lost"), F.max("sa").alias("slack")), "lost")
-    pairs = found.where("kind = 2").groupBy("a", "b", "inst").agg(F.sum("n").alias("n"), F.max("sa").alias("sa"), F.max("sb").alias("sb"))
-    for side in "ab":
-        pairs = pairs.join(lost.select(F.col("node").alias(side), "inst", F.col("lost").alias("l" + side)), [side, "inst"], "left")
-    enough = F.least(F.col("sa") - F.coalesce("la", F.lit(0)), F.col("sb") - F.coalesce("lb", F.lit(0)))
-    pairs = materialize(pairs.where(F.col("n") >= enough).select("a", "b").distinct(), "candidates")
-
-    # Nodes whose slack the crowded signatures may have used up; half, as a partner's slack can be smaller by a quarter.
-    used = lost.where("2 * lost >= slack").select("node", "inst")
-    crowd = materialize(crowd.join(used, ["node", "inst"], "left_semi"), "crowd")
+    pairs, crowd = _candidates(found)
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(crowd.select("node")).distinct()
     wanted = materialize(wanted.join(nodes.select("node", "rep"), "node").where("rep IS NOT NULL"), "wanted")
     texts = _texts(docs, wanted, key, text)
+    crowded = texts.join(crowd.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("k"), F.col("text").alias("t"))
+    more, crowd = _candidates(_exchange(crowded, n, group, True))
+    pairs = materialize(pairs.unionAll(more).distinct(), "candidates")
 
+    # One comparison a node first; pairs that these have joined already need none.
     near = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = materialize(_jaccard(near, texts).where(LINKED).select("a", "b"), "links")
-    more = _through_pivots(crowd.select("sig", "node"), texts)
-    if more is not None:
-        links = materialize(links.unionAll(more), "links")
+    links = _jaccard(near, texts).where(LINKED).select("a", "b")
+    to_pivots = _to_pivots(crowd, texts)
+    if to_pivots is not None:
+        links = links.unionAll(to_pivots.where("node <> pivot").select("node", "pivot"))
+    links = materialize(links, "links")
     labels = components(links)
     side = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias("l" + s))
     rest = pairs.join(near, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").where("NOT coalesce(la, a) <=> coalesce(lb, b)")
-    rest = materialize(rest.select("a", "b"), "rest")
-    if rest.limit(1).count():
-        links = links.unionAll(materialize(_jaccard(rest, texts).where(LINKED).select("a", "b"), "links"))
-        labels = components(links)
+    more = _jaccard(rest.select("a", "b"), texts).where(LINKED).select("a", "b")
+    if to_pivots is not None:
+        more = more.unionAll(_across_pivots(crowd, to_pivots, labels, texts))
+    more = materialize(more, "links")
+    if more.limit(1).count():
+        labels = components(links.unionAll(more))
     label = F.coalesce("label", "node")
     placed = nodes.join(labels, "node", "left").select("node", "rep", label.alias("label"))
     smallest = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
