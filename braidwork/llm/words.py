@@ -82,14 +82,14 @@ class Words:
 
     __slots__ = ("doc_bytes", "end", "first", "hashes", "offsets", "raw", "row")
 
-    def __init__(self, row: int, raw: np.ndarray, doc_bytes: np.ndarray, lower: bool):
+    def __init__(self, row: int, raw: np.ndarray, doc_bytes: np.ndarray, lower: bool, is_space: np.ndarray = _IS_SPACE):
         self.row, self.raw, self.doc_bytes = row, raw, doc_bytes
         n = len(raw)
         if n == 0:
             self.first = self.end = np.zeros(0, np.int64)
             self.hashes, self.offsets = np.zeros(0, U64), np.zeros(len(doc_bytes), np.int64)
             return
-        space = _IS_SPACE[raw]
+        space = is_space[raw]
         edge = np.ones(n + 1, bool)
         edge[1:n] = space[:-1]
         starts = doc_bytes[:-1]
@@ -112,14 +112,18 @@ class Words:
         return len(self.doc_bytes) - 1
 
 
-def chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Words]:
+#: Everything but ASCII letters and digits and bytes over 127, for words without their punctuation.
+NOT_ALPHANUMERIC = np.array([not (chr(c).isalnum() or c > 127) for c in range(256)])
+
+
+def chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES, is_space: np.ndarray = _IS_SPACE) -> Iterator[Words]:
     """The words of a string column, in chunks of about `limit` bytes (a longer document is a chunk of its own)."""
     offsets, raw = text_buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:
         stop = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
         stop = min(n, max(stop, row + 1))
-        yield Words(row, raw[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row], lower)
+        yield Words(row, raw[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row], lower, is_space)
         row = stop
 
 
