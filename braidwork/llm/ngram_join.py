@@ -254,6 +254,16 @@ def _jaccard(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 LINKED = "100 * shared >= 75 * total"
 
 
+def _leading(crowd: DataFrame) -> DataFrame:
+    """For nodes dealt by the finest partition: as many of a node's crowded elements, least crowded first, as any linked
+    node that shares only crowded elements must share one of: it has 3/4 of the node's elements, so all but 1/4 less
+    the uncrowded ones can be passed over."""
+    often = materialize(crowd.groupBy("sig").agg(F.count("*").alias("often")), "often")
+    rank = F.row_number().over(Window.partitionBy("node", F.expr("sig & 63")).orderBy("often", "sig"))
+    first = crowd.join(often, "sig").withColumn("rank", rank).where("rank <= lost - (n - n DIV 4) + 1")
+    return materialize(first.select("sig", "node", "n", "lost"), "leading")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     result = parts[0]
     for p in parts[1:]:
@@ -287,9 +297,12 @@ def _across_pivots(crowd: DataFrame, to_pivots: DataFrame, labels: DataFrame, te
     held = held.join(labels, "node", "left").select("node", "pivot", "far", F.coalesce("label", "node").alias("label"))
     held = held.join(crowd.groupBy("node").agg(F.max("n").alias("n"), F.max("lost").alias("lost")), "node")
     held = materialize(held, "held")
-    seats = crowd.join(held, "node").select("sig", "pivot", "label").distinct()
-    other = seats.select("sig", F.col("pivot").alias("other"), F.col("label").alias("apart"))
-    meet = seats.join(other, "sig").where("label <> apart AND pivot < other").select(F.col("pivot").alias("a"), F.col("other").alias("b")).distinct()
+    # The largest partner that some member can have by its crowded elements, and the smallest member.
+    cap = F.max(F.expr("7 * held.lost / 3 - held.n")).alias("cap")
+    seats = crowd.select("sig", "node").join(held.alias("held"), "node").groupBy("sig", "pivot", "label").agg(cap, F.min("held.n").alias("least"))
+    seats = materialize(seats, "seats")
+    other = seats.select("sig", F.col("pivot").alias("other"), F.col("label").alias("apart"), F.col("cap").alias("cap2"), F.col("least").alias("least2"))
+    meet = seats.join(other, "sig").where("label <> apart AND pivot < other AND least2 <= cap + 1e-9 AND least <= cap2 + 1e-9").select(F.col("pivot").alias("a"), F.col("other").alias("b")).distinct()
     close = _jaccard(meet, texts).where("4 * shared >= total").select("a", "b", (1 - F.col("shared") / F.col("total")).alias("apart"))
     side = lambda n, p: held.select(F.col("node").alias("n" + n), F.col("pivot").alias(p), F.col("far").alias("f" + n), F.col("lost").alias("l" + n), F.col("n").alias("s" + n))
     cross = close.join(side("1", "a"), "a").join(side("2", "b"), "b").where("apart - f1 - f2 <= 0.25 + 1e-9 AND 7 * least(l1, l2) >= 3 * (s1 + s2)")
@@ -317,6 +330,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
     texts = _texts(docs, wanted, key, text)
     crowded = texts.join(crowd.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("k"), F.col("text").alias("t"))
     more, crowd = _candidates(_exchange(crowded, n, group, True))
+    crowd = _leading(crowd)
     pairs = materialize(pairs.unionAll(more).distinct(), "candidates")
 
     # One comparison a node first; pairs that these have joined already need none.
