@@ -31,7 +31,7 @@ from .components import components
 from .words import U64, chunks, mix, mix_one, shingles, signed
 
 SHINGLE = 5
-GROUP = 32
+GROUP = 8
 _INST = U64(63)
 _PACKED = "bucket int, kind int, x long, y long, n int, payload binary"
 _FOUND = "kind int, a long, b long, inst int, n int, sa int, sb int"
