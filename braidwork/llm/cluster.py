@@ -30,6 +30,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts come to Python in Arrow batches of at most so many rows, so that batches of long texts stay small on both
+    sides; a smaller setting of the session is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below a plan, as the optimizer estimates them; works for any file system."""
     try:

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import U64, chunks, mix, shingles, signed
+from .cluster import bound_batches
+from .words import U64, chunks, mix, shingles
 
 SHINGLE = 5
 CONTAINMENT = 0.75
@@ -96,6 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     Other columns of either table are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     schema = f"{key} long, item_id long, n_shared long, n_item long, containment double"
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     result = None
@@ -128,6 +130,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """`docs` without contaminated documents, other rows and columns unchanged. The test is made within each row's own
     scan, so rows with a null or repeated key are judged one by one by their own text."""
     spark = docs.sparkSession
+    bound_batches(spark)
     schema = docs.schema
     column = docs.columns.index(text)
     result = docs

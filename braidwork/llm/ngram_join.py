@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import RowFilter, buckets, materialize
+from .cluster import RowFilter, bound_batches, buckets, materialize
 from .components import components
-from .words import U64, chunks, mix, mix_one, shingles, signed
+from .words import U64, chunks, mix, mix_one, pieces, release, shingles, signed
 
 SHINGLE = 5
 GROUP = 8
@@ -75,7 +75,7 @@ def node_of(elements: np.ndarray) -> int:
 
 def _pack(batches, n_buckets: int, fine: bool):
     """From (key, text) batches: a base row for each document, and packed signatures for each bucket."""
-    for batch in batches:
+    for batch in pieces(batches, 1):
         keys, nodes, sizes, seen = batch.column(0), [], [], set()
         sigs, owner, slacks = [], [], []
         for words in chunks(batch.column(1), lower=True):
@@ -122,6 +122,7 @@ def _pack(batches, n_buckets: int, fine: bool):
             [pa.array(out_b, pa.int32()), pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(out_p, pa.binary())],
             names=["bucket", "kind", "x", "y", "n", "payload"],
         )
+    release()
 
 
 def _unpack(payloads):
@@ -186,6 +187,8 @@ def _reduce(table: pa.Table, group: int) -> pa.Table:
             out.append([np.full(len(crowd_sig), 3, np.int32), signed(crowd_sig), signed(crowd_node), (crowd_sig & _INST).astype(np.int32), crowd_size.astype(np.int32), crowd_slack, None])
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     names = ["kind", "a", "b", "inst", "n", "sa", "sb"]
+    packed = table = None
+    release()
     return pa.concat_tables(
         pa.Table.from_arrays([pa.nulls(len(part[0]), t) if c is None else c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(part, types, strict=True)], names=names) for part in out
     )
@@ -319,8 +322,9 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
     component, null if there is none. Other columns are ignored; an empty table gives no rows.
     Sets are compared by 64-bit hashes of shingles.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    n = buckets(source)
+    n = 3 * buckets(source)  # small enough to sort in little memory
     found = _exchange(source, n, group, False)
     base = found.where("kind = 1").select(F.col("a").alias(key), F.col("b").alias("node"), F.col("n").alias("n_shingles"))
     nodes = materialize(base.groupBy("node").agg(F.min(key).alias("rep"), F.max("n_shingles").alias("n")), "nodes")

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import RowFilter, buckets, materialize
-from .words import U64, Words, chunks, mix, mix_one, signed, window_hashes
+from .cluster import RowFilter, bound_batches, buckets, materialize
+from .words import U64, Words, chunks, mix, mix_one, window_hashes
 
 WINDOW = 50
 _ROWS = "bucket int, kind int, doc long, mark long, n long, payload binary"
@@ -222,6 +222,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Repeated rows: each gets the same result. Empty table: no rows. Other columns are ignored.
     Windows are compared by 64-bit hashes.
     """
+    bound_batches(docs.sparkSession)
     mark = F.xxhash64(F.col(text))
     source = docs.select(F.col(key).cast("long").alias("doc"), mark.alias("mark"), F.col(text).alias("text"))
     n = buckets(source)

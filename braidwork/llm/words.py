@@ -7,6 +7,7 @@ Hashes are 64-bit and depend only on the words, so they agree between workers, r
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,6 +161,26 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
+def release() -> None:
+    """Give memory that the allocators hold back to the system: idle workers stay around between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def pieces(batches, column: int, limit: int = 4 << 20):
+    """Record batches cut so that each holds about `limit` bytes of a text column at most (or one row)."""
+    for batch in batches:
+        offsets, _ = text_buffers(batch.column(column))
+        row, n = 0, batch.num_rows
+        while row < n:
+            stop = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1))
+            yield batch.slice(row, stop - row)
+            row = stop
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U64, copy=False).view(np.int64)
 
