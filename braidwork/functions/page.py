@@ -8,8 +8,13 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SCHEMA = "text string, title string, links array<struct<href:string,text:string>>, meta map<string,string>, json_ld array<string>, times array<string>, images array<string>"
+_TEXTS = T.ArrayType(T.StringType())
+SCHEMA = (
+    T.StructType().add("text", T.StringType()).add("title", T.StringType()).add("links", T.ArrayType(T.StructType().add("href", T.StringType()).add("text", T.StringType())))
+    .add("meta", T.MapType(T.StringType(), T.StringType())).add("json_ld", _TEXTS).add("times", _TEXTS).add("images", _TEXTS)
+)
 _HIDDEN = {"script", "style", "noscript", "svg", "template", "iframe"}
 _RAW_JSON = re.compile(r",\s*([}\]])")
 

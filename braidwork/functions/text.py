@@ -100,4 +100,5 @@ def retry_after(header: Column, attempt: Column, now: Column, most: float = 30.0
     """Seconds to wait: a number or an HTTP date, between 0 and `most`; otherwise two to the power of the attempt."""
     seconds = F.trim(header).try_cast("double")
     when = F.unix_timestamp(F.try_to_timestamp(F.regexp_extract(header, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))) - F.unix_timestamp(now)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.coalesce(seconds, when.cast("double")), F.lit(most))), F.pow(F.lit(2.0), attempt))
+    asked = F.coalesce(seconds, when.cast("double"))
+    return F.when(asked.isNotNull(), F.greatest(F.lit(0.0), F.least(asked, F.lit(most)))).otherwise(F.pow(F.lit(2.0), attempt))

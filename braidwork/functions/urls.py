@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Page roles in order of priority, with the patterns of their paths and of the text of links to them.
 ROLE_RULES = [
@@ -58,7 +59,7 @@ def clean_url(url: Column) -> Column:
     return F.when((_part(url, 1) != "") & (_part(url, 2) != ""), out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link of a page as an absolute URL."""
 
