@@ -95,7 +95,7 @@ def _pack(batches, n_buckets: int, fine: bool):
         nodes, sizes = np.array(nodes, U64), np.array(sizes, np.int32)
         m = batch.num_rows
         yield pa.RecordBatch.from_arrays(
-            [pa.array((nodes % U64(n_buckets)).astype(np.int32)), pa.array(np.ones(m, np.int32)), keys, pa.array(signed(nodes)), pa.array(sizes), pa.nulls(m, pa.binary())],
+            [pa.array((mix(keys.fill_null(0).to_numpy().view(U64)) % U64(n_buckets)).astype(np.int32)), pa.array(np.ones(m, np.int32)), keys, pa.array(signed(nodes)), pa.array(sizes), pa.nulls(m, pa.binary())],
             names=["bucket", "kind", "x", "y", "n", "payload"],
         )
         if not sigs:

@@ -85,7 +85,7 @@ def _level_one(batches, n_buckets: int, window: int):
                 i = words.row + d
                 key = int(keys[i]) if valid[i] else None
                 plain = _plain(words, d)
-                rows.append((int(marks[i]) % n_buckets, 2, key, int(marks[i]), len(plain), hashlib.sha256(b" ".join(plain)).digest()))
+                rows.append(((int(keys[i]) * 0x9E3779B97F4A7C15 % (1 << 64) >> 20) % n_buckets, 2, key, int(marks[i]), len(plain), hashlib.sha256(b" ".join(plain)).digest()))
             _, anchor, doc = _anchors(words, window)
             first, _ = _runs(anchor + mix(doc.astype(U64)))
             ok = valid[words.row + doc[first]]
