@@ -126,12 +126,10 @@ def h0_metrics_by_label(t):
 
 
 @query()
-def h1_metrics_by_label(t):
-    """Both dimensions by label, over at most 60 points of each (dimension 1 bounds its clouds)."""
-    from pyspark.sql.window import Window
-
-    first = t("embeddings").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(matrix.order_key(42, F.col("vec_id")), "vec_id"))).where("r <= 60")
-    return rounded(homology.metrics(homology.bars(first, "label", "embedding")), 5)
+def h1_metrics_by_block(t):
+    """Both dimensions over all vectors, in clouds of a label's vectors from 400 consecutive ids each."""
+    cloud = F.concat_ws("/", "label", (F.col("vec_id") / 400).cast("long"))
+    return rounded(homology.metrics(homology.bars(t("embeddings").withColumn("cloud", cloud), "cloud", "embedding")), 5)
 
 
 @query()
