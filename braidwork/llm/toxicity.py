@@ -130,8 +130,8 @@ class ToxicityModel:
                 own = fold  # too few of this language: all
             v, t = logit[own], y[own]
             order = np.argsort(v)
-            # Errors if the cut lies before each place; false alarms count twice, as most documents are clean.
-            errors = np.r_[0, np.cumsum(t[order] > 0)] + 2 * np.r_[np.cumsum((t[order] == 0)[::-1])[::-1], 0]
+            # Errors if the cut lies before each place; a false alarm weighs as a miss.
+            errors = np.r_[0, np.cumsum(t[order] > 0)] + np.r_[np.cumsum((t[order] == 0)[::-1])[::-1], 0]
             best = np.flatnonzero(errors == errors.min())
             edge = np.r_[v[order][0] - 2, v[order], v[order][-1] + 2] if len(v) else np.zeros(2)
             k = best[len(best) // 2]
