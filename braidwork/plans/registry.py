@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import patterns as pt
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import carriers, homology, matrix, scoring, sites
+from ..operators import carriers, homology, matrix, profiles, scoring, sites
 from ..sources import loaders, sinks
 from ..streaming import cadence as stream
 
@@ -241,6 +242,57 @@ def site_briefs(t):
     return sinks.text_briefs(scoring.scores(facts), scoring.flags(facts))
 
 
+_MARKS = ", ".join(f"('{n}', '{c}', '{p}')" for n, c, p in pt.TECHNOLOGIES)
+
+
+@query(f"SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS site, m.name, m.category, min(url) AS url FROM pages JOIN (VALUES {_MARKS}) AS m(name, category, pattern) ON regexp_matches(html, m.pattern, 'i') GROUP BY ALL")
+def technologies(t):
+    page = t("pages").select(urls.host_of(F.col("url")).alias("site"), "url", "html")
+    return profiles.technologies(page).select("site", "name", "category", "url")
+
+
+_SCORE = {model: " + ".join(f"{w} * least(len(regexp_extract_all(html, '(?i){p}')), 3)" for p, w in signals) for model, signals in pt.MODELS.items()}
+
+
+@query(f"SELECT page_id, round(greatest({', '.join(_SCORE.values())}), 3)::DOUBLE AS score FROM pages")
+def revenue_model_scores(t):
+    return profiles.revenue_models(t("pages").select(F.col("page_id").alias("site"), F.col("html").alias("text"))).select(F.col("site").alias("page_id"), F.round("score", 3).alias("score"))
+
+
+@query()
+def revenue_models(t):
+    page = profiles.with_role(sites.parsed(t("pages")))
+    return profiles.revenue_models(profiles.corpus(profiles.targets(page, ("home", "pricing", "product", "about"))))
+
+
+@query("SELECT site, price, amount, place, 'USD' AS currency FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY amount)::INT AS place FROM (SELECT DISTINCT p_brand AS site, '$' || format('{:,.2f}', p_retailprice) || ' per month' AS price, round(p_retailprice, 2) AS amount FROM part)) WHERE place <= 8")
+def price_points(t):
+    """Parts as pricing pages of their brands."""
+    said = F.concat_ws("\n", F.col("p_name"), F.concat(F.lit("It costs $"), F.format_number("p_retailprice", 2), F.lit(" per month, or more")))
+    return profiles.prices(t("part").select(F.col("p_brand").alias("site"), F.col("p_partkey").alias("url"), F.lit("pricing").alias("role"), said.alias("text")))
+
+
+@query("SELECT site, name, place FROM (SELECT site, name, row_number() OVER (PARTITION BY site ORDER BY min(n_nationkey * 2 + i))::INT AS place FROM (SELECT n_regionkey AS site, n_nationkey, 0 AS i, n_name AS name FROM nation UNION ALL SELECT n_regionkey, n_nationkey, 1, 'Slack' FROM nation) GROUP BY site, name) WHERE place <= 12")
+def integrations(t):
+    """Nations as pages of their regions."""
+    said = F.concat(F.lit("Our product integrates with "), F.col("n_name"), F.lit(" and Slack"))
+    return profiles.integrations(t("nation").select(F.col("n_regionkey").alias("site"), F.col("n_nationkey").alias("url"), said.alias("text")))
+
+
+@query("SELECT s_suppkey AS site, CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE -1 END::INT AS open_roles, CASE s_suppkey % 3 WHEN 1 THEN s_name || '; Sales engineer' ELSE '' END AS titles, CASE s_suppkey % 3 WHEN 1 THEN 'Engineering; Sales' ELSE '' END AS departments FROM supplier")
+def open_roles(t):
+    """Suppliers as careers pages: every third says that nothing is open, every third has two postings, the rest say nothing (-1)."""
+    link = lambda href, text: F.struct(F.lit(href).alias("href"), text.alias("text"))
+    name, sales = F.col("s_name"), F.lit("Sales engineer")
+    some = F.array(link("/jobs/1", name), link("/jobs/2", sales), link("/jobs/3", F.upper(name)), link("/careers/", F.lit("Careers")), link("/jobs/4", F.lit("Apply now")))
+    third = F.col("s_suppkey") % 3
+    page = t("supplier").select(
+        F.col("s_suppkey").alias("site"), F.lit("https://a.com/careers").alias("url"), F.lit("careers").alias("role"), F.when(third == 0, "There are no open positions.").otherwise("Hello").alias("text"),
+        F.when(third == 1, some).when(third == 0, F.array(link("/jobs/1", name))).otherwise(F.slice(some, 1, 0)).alias("links"), F.array().cast("array<string>").alias("json_ld"),
+    )
+    return profiles.open_roles(page).select("site", F.coalesce("open_roles", F.lit(-1)).alias("open_roles"), F.array_join("titles", "; ").alias("titles"), F.array_join("departments", "; ").alias("departments"))
+
+
 _COUNTED = ["the", "and", "idiot", "token"]
 
 
