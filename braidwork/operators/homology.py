@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import matrix
+
 MOST_POINTS = 256
 METRICS = ["H0_count", "H1_count", "max_persistence", "mean_persistence", "total_persistence", "persistence_entropy", "topological_complexity"]
 
@@ -169,3 +171,31 @@ def pca(points: DataFrame, coordinates: str, k: int = 15) -> tuple[DataFrame, li
     centre = F.array(*[F.lit(float(x)) for x in mean])
     parts = [F.aggregate(F.zip_with(F.zip_with(v, centre, lambda a, b: a - b), F.array(*[F.lit(float(x)) for x in vectors[:, c]]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for c in range(keep)]
     return points.withColumn("e", F.array(*parts)), list(values[:keep] / max(values.sum(), 1e-300))
+
+
+def label_permutation(points: DataFrame, key: str, label: str, coordinates: str, replicates: int = 32, seed: int = 42, least: int = 8, max_dim: int = 1, metric: str = "euclidean") -> DataFrame:
+    """(metric, group_a, group_b, observed_difference, z_score, empirical_p): do two groups differ more in a metric than
+    groups of the same sizes with permuted labels? p counts differences as large in absolute value, without centring, and
+    is smoothed by one. Without exactly two groups of `least` rows or more: no rows. Groups of under three rows have zeros.
+    """
+    spark = points.sparkSession
+    groups = [r["label"] for r in matrix.eligible_groups(points, label, least, 8).orderBy(F.desc("n"), "label").collect()]
+    if len(groups) != 2:
+        return spark.createDataFrame([], "metric string, group_a string, group_b string, observed_difference double, z_score double, empirical_p double")
+    own = points.select(F.col(key).alias("key"), F.coalesce(F.col(label).cast("string"), F.lit("None")).alias("label"), F.col(coordinates).alias("x")).where(F.col("label").isin(groups))
+    dealt = matrix.permuted(own, "key", "label", replicates, seed)
+    shuffled = dealt.join(own.select("key", "x"), "key")
+    every = own.select(F.lit(-1).alias("replicate"), "label", "x").unionByName(shuffled.select("replicate", "label", "x"))
+    clouds = every.withColumn("cloud", F.concat_ws("/", "replicate", F.when(F.col("label") == groups[0], "a").otherwise("b")))
+    sizes = clouds.groupBy("cloud").agg(F.count("*").alias("rows"))
+    found = sizes.join(metrics(bars(clouds, "cloud", "x", max_dim, metric)), "cloud", "left")
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(F.col("rows") >= 3, F.coalesce(m, F.lit(0.0))).otherwise(0.0).alias("v")) for m in METRICS])).alias("m")
+    sign = F.when(F.col("cloud").endswith("/a"), 1.0).otherwise(-1.0)
+    long = found.select(F.split_part("cloud", F.lit("/"), F.lit(1)).cast("int").alias("replicate"), sign.alias("sign"), pairs)
+    diff = long.groupBy("replicate", "m.metric").agg(F.sum(F.col("sign") * F.col("m.v")).alias("d"))
+    seen = diff.where("replicate < 0").select("metric", F.col("d").alias("o"))
+    null = diff.where("replicate >= 0").join(F.broadcast(seen), "metric").groupBy("metric", "o").agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.count_if(F.abs("d") >= F.abs("o")).alias("far"), F.count("*").alias("n"))
+    return null.select(
+        "metric", F.lit(groups[0]).alias("group_a"), F.lit(groups[1]).alias("group_b"), F.col("o").alias("observed_difference"),
+        F.when(F.col("std") > 0, (F.col("o") - F.col("mean")) / F.col("std")).otherwise(0.0).alias("z_score"), ((F.col("far") + 1) / (F.col("n") + 1)).alias("empirical_p"),
+    )

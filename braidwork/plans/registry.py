@@ -133,6 +133,12 @@ def h1_metrics_by_block(t):
     return rounded(homology.metrics(homology.bars(t("embeddings").withColumn("cloud", cloud), "cloud", "embedding")), 5)
 
 
+@query()
+def label_permutation(t):
+    """Dimension 0 of vectors with even and odd labels, against eight permutations of the labels."""
+    return rounded(homology.label_permutation(t("embeddings").withColumn("side", F.col("label") % 2), "vec_id", "side", "embedding", 8, max_dim=0), 5)
+
+
 @query()
 def pca_components(t):
     return rounded(homology.pca(t("embeddings"), "embedding", 3)[0].select("vec_id", *[F.col("e")[i].alias(f"e{i}") for i in range(3)]), 4)
