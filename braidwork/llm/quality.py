@@ -41,7 +41,7 @@ def _index_vectors(seed: int) -> np.ndarray:
 class QualityModel:
     """Word vectors (index vector plus normalised sum of the neighbours' index vectors) and the network's weights."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, hidden: int = 24, epochs: int = 60, seed: int = 7):
+    def __init__(self, texts: list[str], y: np.ndarray, behind: np.ndarray | None = None, hidden: int = 24, epochs: int = 60, seed: int = 7):
         self.tables = [self._context(texts, kind) for kind in (0, 1)]
         x = self.features(pa.array(texts, pa.string()))
         self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(2 * WIDTH), np.ones(2 * WIDTH))
@@ -49,7 +49,7 @@ class QualityModel:
         d = 2 * WIDTH
         self.w1, self.b1 = rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden)
         self.w2, self.b2 = rng.normal(0, hidden**-0.5, hidden), np.zeros(1)
-        self.t = 1.0
+        self.t, self.prior = 1.0, 0.0
         if not len(y) or y.min() == y.max():
             return
         x = (x - self.mean) / self.scale
@@ -64,8 +64,9 @@ class QualityModel:
                 g = (sigmoid(h @ self.w2 + self.b2) - yt[b]) / len(b)
                 gh = np.outer(g, self.w2) * (1 - h * h)
                 adam.step([xt[b].T @ gh + 1e-4 * self.w1, gh.sum(0), h.T @ g + 1e-4 * self.w2, np.array([g.sum()])])
-        # Classes were sampled to equal bounds: back to the odds at which they come.
         self.t = temperature(self._logits(x[fold]), y[fold])
+        # Each class was sampled up to a bound: back to the odds at which the labels come.
+        self.prior = float(np.log(behind[1] / behind[0])) if behind is not None else 0.0
 
     @staticmethod
     def _context(texts, kind: int) -> np.ndarray:
@@ -99,7 +100,7 @@ class QualityModel:
         return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return sigmoid(self._logits((self.features(column) - self.mean) / self.scale) / self.t)
+        return sigmoid(self._logits((self.features(column) - self.mean) / self.scale) / self.t + self.prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> QualityModel:
@@ -109,7 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:
     """(key, held_out, score, predicted) for every row of `docs`, from its whole text alone.
 
-    The model is fitted on the driver to at most `per_class` labelled documents of each class (sample.labelled_sample);
+    The model is fitted on the driver to at most `per_class` labelled documents of each class (sample.labelled_sample),
+    and its scores are moved to the odds of all labels that are not held out, whatever the bound cuts;
     everything else runs where the rows are, with one broadcast of fixed size (about 4 MB), and nothing is shuffled.
     Null and empty texts: scored as a text without words. Null key: held_out is false, the score stands. Repeated rows:
     the same score. No usable labels: an untrained network's scores, near 0.5. Other columns are ignored.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels (0 or 1) of at most `per_class` documents of each class, chosen by a hash of the key.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts and labels (0 or 1) of at most `per_class` documents of each class, chosen by a hash of the key; and for each
+    of the two classes, how many labelled keys stand behind one chosen key (1 where `per_class` cuts nothing).
 
     Held-out keys, null keys, other labels, null texts and texts of over MOST_BYTES bytes are not chosen. A key with
     several labels counts with the largest. Only the chosen keys, at most twice `per_class`, are broadcast.
@@ -31,11 +33,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).cast("long").alias("k")).agg(F.max(label).cast("int").alias("y"))
     chosen = [r for v in (0, 1) for r in known.where(F.col("y") == v).orderBy(F.xxhash64("k"), "k").limit(per_class).collect()]
     if not chosen:
-        return [], np.zeros(0)
+        return [], np.zeros(0), np.ones(2)
+    every, taken = dict(known.groupBy("y").count().collect()), Counter(r.y for r in chosen)
     keys = docs.sparkSession.createDataFrame(chosen, "k long, y int")
     rows = docs.where(F.octet_length(text) <= MOST_BYTES).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(keys), "k").select("k", "t", "y").collect()
     rows.sort(key=lambda r: (hash_order(r.k), r.k, r.t))
-    return [r.t for r in rows], np.array([r.y for r in rows], np.float64)
+    return [r.t for r in rows], np.array([r.y for r in rows], np.float64), np.array([every[v] / taken[v] if taken[v] else 1.0 for v in (0, 1)])
 
 
 def hash_order(k: int) -> int:

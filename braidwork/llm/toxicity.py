@@ -173,7 +173,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     Null and empty texts: scored as a text without words. Null key: held_out is false, the score stands. Repeated rows:
     the same score. No usable labels: an untrained network's scores. Other columns are ignored.
     """
-    return score_documents(docs, key, text, ToxicityModel(*labelled_sample(docs, labels, label, key, text, per_class)), threshold)
+    return score_documents(docs, key, text, ToxicityModel(*labelled_sample(docs, labels, label, key, text, per_class)[:2]), threshold)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

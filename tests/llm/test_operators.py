@@ -223,3 +223,21 @@ def test_recordings_are_aligned(spark):
 def test_media_decoding_of_bad_data():
     assert len(media.decode(None)) == len(media.decode(b"no wave")) == 0
     assert len(media.fingerprint(media.chroma(np.zeros(3)))) == 0
+
+
+def labelled(spark, good, bad):
+    """Documents 1 to good + bad, of two kinds that share many words, with their labels (all quality 1 and toxic 0, or the reverse)."""
+    rng = np.random.default_rng(8)
+    kind = lambda y: " ".join(f"w{i}" for i in rng.integers(0, 40, 12) + (8 if y else 0))
+    ys = [1] * good + [0] * bad
+    docs = frame(spark, [kind(y) for y in ys], 1)
+    return docs, spark.createDataFrame([(k + 1, y, 1 - y) for k, y in enumerate(ys)], "doc_id long, quality int, toxic int")
+
+
+def test_quality_scores_keep_the_odds_of_capped_classes(spark):
+    docs, labels = labelled(spark, 1200, 150)
+    rate = lambda rows: np.mean([r.score for r in rows if not r.held_out])
+    share = 1200 / 1350
+    whole = rate(quality.quality_scores(docs, labels).collect())
+    capped = rate(quality.quality_scores(docs, labels, per_class=100).collect())
+    assert abs(whole - share) < 0.05 and abs(capped - share) < 0.08
