@@ -43,7 +43,7 @@ def _words(column: pa.Array):
 
 
 class ToxicityModel:
-    def __init__(self, texts: list[str], y: np.ndarray, epochs: int = 8, seed: int = 11):
+    def __init__(self, texts: list[str], y: np.ndarray, behind: np.ndarray | None = None, epochs: int = 8, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.table = rng.normal(0, 0.05, (VOCABULARY, WIDTH)).astype(np.float32)
         self.kernels = [rng.normal(0, 0.3, (s, WIDTH, FILTERS)).astype(np.float32) for s in SIZES]
@@ -60,7 +60,7 @@ class ToxicityModel:
         fold = np.arange(len(y)) % 5 == 0  # kept for the thresholds
         self._start(docs, y, ~fold)
         self._train(docs, y, np.flatnonzero(~fold), epochs, rng)
-        self._calibrate(texts, y, fold)
+        self._calibrate(texts, y, fold, np.ones(2) if behind is None else behind)
 
     def _start(self, docs, y, use):
         """One embedding coordinate begins as how much more often a word is met in the one class than in the other."""
@@ -122,7 +122,7 @@ class ToxicityModel:
                         table_square[rows] += float(gr @ gr) / WIDTH
                         self.table[rows] -= (rate / np.sqrt(table_square[rows]))[:, None] * gr
 
-    def _calibrate(self, texts, y, fold):
+    def _calibrate(self, texts, y, fold, behind):
         logit, tongue = self.logits(pa.array(texts, pa.string()))
         for i in range(len(LANGUAGES) + 1):
             own = fold & (tongue == i)
@@ -130,8 +130,8 @@ class ToxicityModel:
                 own = fold  # too few of this language: all
             v, t = logit[own], y[own]
             order = np.argsort(v)
-            # Errors if the cut lies before each place; a false alarm weighs as a miss.
-            errors = np.r_[0, np.cumsum(t[order] > 0)] + np.r_[np.cumsum((t[order] == 0)[::-1])[::-1], 0]
+            # Errors if the cut lies before each place; a false alarm weighs as a miss, each for all the labels behind it.
+            errors = behind[1] * np.r_[0, np.cumsum(t[order] > 0)] + behind[0] * np.r_[np.cumsum((t[order] == 0)[::-1])[::-1], 0]
             best = np.flatnonzero(errors == errors.min())
             edge = np.r_[v[order][0] - 2, v[order], v[order][-1] + 2] if len(v) else np.zeros(2)
             k = best[len(best) // 2]
@@ -169,11 +169,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     embeddings (the word, its first four and first six bytes). Filters over 1, 2 and 3 words are max-pooled over the
     text. The language is told from frequent words of the text itself and only moves the logit, so that the calibrated
     threshold of each language is at 0.5. The model is fitted on the driver to at most `per_class` labelled documents of
-    each class; scoring broadcasts it (about 3 MB) and shuffles nothing.
+    each class; when thresholds are set each counts for the labels behind it (sample.labelled_sample). Scoring broadcasts
+    the model (about 3 MB) and shuffles nothing.
     Null and empty texts: scored as a text without words. Null key: held_out is false, the score stands. Repeated rows:
     the same score. No usable labels: an untrained network's scores. Other columns are ignored.
     """
-    return score_documents(docs, key, text, ToxicityModel(*labelled_sample(docs, labels, label, key, text, per_class)[:2]), threshold)
+    return score_documents(docs, key, text, ToxicityModel(*labelled_sample(docs, labels, label, key, text, per_class)), threshold)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

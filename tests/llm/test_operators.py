@@ -241,3 +241,13 @@ def test_quality_scores_keep_the_odds_of_capped_classes(spark):
     whole = rate(quality.quality_scores(docs, labels).collect())
     capped = rate(quality.quality_scores(docs, labels, per_class=100).collect())
     assert abs(whole - share) < 0.05 and abs(capped - share) < 0.08
+
+
+def test_toxicity_cuts_count_the_labels_behind_the_sample():
+    v = np.r_[np.arange(20), np.arange(20) + 12.5]
+    y, behind = np.repeat([0.0, 1.0], 20), np.array([8.0, 1.0])
+    model = toxicity.ToxicityModel([], np.zeros(0))
+    model.logits = lambda column: (v, np.zeros(40, np.int64))
+    model._calibrate([""] * 40, y, np.ones(40, bool), behind)
+    errors = lambda cut: behind[0] * np.sum((v >= cut) & (y == 0)) + behind[1] * np.sum((v < cut) & (y > 0))
+    assert all(errors(c) == min(errors(x) for x in [-1, *(v + 0.25)]) for c in model.cuts)
