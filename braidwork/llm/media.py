@@ -1,4 +1,4 @@
-"""Media columns: chroma fingerprints of audio, found and aligned by offset histograms and bit errors."""
+"""Media columns: chroma fingerprints of audio, found and aligned by bit errors at every offset."""
 
 from __future__ import annotations
 
@@ -15,10 +15,10 @@ from .cluster import materialize
 RATE = 4000
 FRAME, HOP = 512, 128
 SPAN = 8
-VOTES = 4
 ERRORS = 0.2
 OVERLAP = 24
 BLOCK = 2048
+PAD, CELLS, KEPT = 64, 1 << 17, 1 << 26
 
 
 def decode(data: bytes | None) -> np.ndarray:
@@ -103,50 +103,91 @@ def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
 
 
 class _Queries:
-    """The fingerprints of a block of queries, by integer."""
+    """The fingerprints of a block of queries, the last frame first, in stacks of like lengths."""
 
     def __init__(self, ids: list[int], prints: list[bytes]):
         self.ids = np.array(ids, np.int64)
         self.prints = [np.frombuffer(p, "<u4") for p in prints]
-        value = np.concatenate(self.prints) if self.prints else np.zeros(0, np.uint32)
-        owner = np.repeat(np.arange(len(ids)), [len(p) for p in self.prints])
-        place = np.concatenate([np.arange(len(p)) for p in self.prints]) if self.prints else np.zeros(0, np.int64)
-        order = np.argsort(value, kind="stable")
-        self.value, self.owner, self.place = value[order], owner[order], place[order]
-
-    def match(self, prints: np.ndarray) -> list[tuple[int, int, float]]:
-        """(query, offset, bit error rate) of every query that aligns with a recording: at the offset with most equal
-        integers (the smallest of equals), if it has VOTES and the bits over the overlap agree."""
-        low = np.searchsorted(self.value, prints)
-        n = np.searchsorted(self.value, prints, "right") - low
-        if not n.any():
-            return []
-        at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        offset = np.repeat(np.arange(len(prints)), n) - self.place[at]
-        code, votes = np.unique(self.owner[at] * (1 << 32) + (offset + (1 << 31)), return_counts=True)
-        code, votes = code[votes >= VOTES], votes[votes >= VOTES]
-        order = np.lexsort((code, -votes, code >> 32))
-        out, last = [], -1
-        for c in code[order]:
-            q, off = int(c >> 32), int(c & ((1 << 32) - 1)) - (1 << 31)
-            if q == last:
-                continue
-            last = q
-            a, b = prints[max(0, off) :], self.prints[q][max(0, -off) :]
-            m = min(len(a), len(b))
-            if m >= min(OVERLAP, len(prints), len(self.prints[q])):
-                wrong = np.unpackbits((a[:m] ^ b[:m]).view(np.uint8)).sum() / (32 * m)
-                if wrong <= ERRORS:
-                    out.append((int(self.ids[q]), off, float(wrong)))
+        like: dict[int, list[int]] = {}
+        for q, p in enumerate(self.prints):
+            if len(p):
+                like.setdefault(-(-len(p) // PAD), []).append(q)
+        self.stacks = []
+        for qs in like.values():
+            n = np.array([len(self.prints[q]) for q in qs])
+            stack = np.zeros((len(qs), n.max()), np.uint32)
+            for row, q in zip(stack, qs, strict=True):
+                row[: len(self.prints[q])] = self.prints[q][::-1]
+            self.stacks.append((np.array(qs), n, stack))
+        self.spectra: dict[tuple, np.ndarray] = {}
+
+    def _spectrum(self, key: int, at: int, step: int, size: int) -> np.ndarray:
+        """Frequencies by queries by bits, bits as -1 and 1; kept while they are small."""
+        if (key, at, size) not in self.spectra:
+            if sum(x.nbytes for x in self.spectra.values()) > KEPT:
+                self.spectra.clear()
+            _, n, stack = self.stacks[key]
+            signs = _signs(stack[at : at + step]) * (np.arange(stack.shape[1]) < n[at : at + step, None])[:, :, None]
+            self.spectra[key, at, size] = np.ascontiguousarray(np.fft.rfft(signs, size, axis=1).transpose(1, 0, 2))
+        return self.spectra[key, at, size]
+
+    def match(self, recordings: list[np.ndarray]) -> list[list[tuple[int, int, float]]]:
+        """For each recording (query, offset, bit error rate) of every query that aligns with it: of all offsets with enough
+        overlap, the one with the fewest wrong bits a frame (of equals the longest overlap, then the smallest), if that is
+        within ERRORS. Correlation of the bits finds the pairs that can be, with room for rounding; they are then counted."""
+        out: list[list] = [[] for _ in recordings]
+        like: dict[int, list[int]] = {}
+        for r, p in enumerate(recordings):
+            if len(p):
+                like.setdefault(len(p), []).append(r)
+        for n, rs in like.items():
+            for key, (qs, lengths, stack) in enumerate(self.stacks):
+                width = n + stack.shape[1] - 1
+                size = next(k << e for e in range(60) for k in (8, 9, 10, 12, 15) if k << e >= width)
+                step, group = max(1, CELLS // size), max(1, CELLS * 8 // (size * min(len(qs), max(1, CELLS // size))))
+                for at in range(0, len(qs), step):
+                    own = lengths[at : at + step]
+                    spectrum, (_, overlap, fits) = self._spectrum(key, at, step, size), _overlaps(n, own, width)
+                    least = np.where(fits, 32 * overlap * (1 - 2 * ERRORS) - 0.5 - 1e-5 * 32 * overlap, np.inf).T[:, :, None].astype(np.float32)
+                    for g in range(0, len(rs), group):
+                        some = rs[g : g + group]
+                        heard = np.fft.rfft(_signs(np.stack([recordings[r] for r in some])), size, axis=1).transpose(1, 2, 0)
+                        agree = np.fft.irfft(spectrum @ heard, size, axis=0)[:width]
+                        for k, r in np.argwhere((agree >= least).any(0)):
+                            out[some[r]] += self._count(int(qs[at + k]), recordings[some[r]])
         return out
 
+    def _count(self, q: int, prints: np.ndarray) -> list[tuple[int, int, float]]:
+        own, n = self.prints[q][::-1], len(prints)
+        wrong = np.zeros(n + len(own) - 1, np.int64)  # place i + (last - j): frame i on the query's frame j
+        for i in range(n):
+            wrong[i : i + len(own)] += np.bitwise_count(own ^ prints[i])
+        offset, overlap, fits = (x.ravel() for x in _overlaps(n, np.array([len(own)]), len(wrong)))
+        rate = np.where(fits, wrong / (32 * np.maximum(overlap, 1)), 2.0)
+        best = np.flatnonzero(rate == rate.min())
+        best = best[np.argmax(overlap[best])]
+        return [(int(self.ids[q]), int(offset[best]), float(rate[best]))] if rate[best] <= ERRORS else []
+
+
+def _signs(prints: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(np.ascontiguousarray(prints, "<u4").view(np.uint8).reshape(*prints.shape, 4), axis=2)
+    return bits.astype(np.float32) * 2 - 1
+
+
+def _overlaps(n: int, own: np.ndarray, width: int):
+    """Offsets, overlaps and whether they are long enough, for queries of `own` frames by places."""
+    own = own[:, None]
+    offset = np.arange(width) - (own - 1)
+    overlap = np.minimum(n, offset + own) - np.maximum(0, offset)
+    return offset, overlap, (overlap > 0) & (overlap >= np.minimum(OVERLAP, np.minimum(n, own)))
+
 
 def align(prints: DataFrame, key: str, every: int = 50) -> DataFrame:
     """One row for each recording: (key, n_frames, class_id, n_matches, matches).
 
     Recordings with the same fingerprint are one class, named by the smallest key. Queries are the classes of all
-    recordings whose key is divisible by `every`; they are searched, in blocks of a fixed size, against one recording of
-    every class, and each recording gets its class's matches: the query classes other than its own, as
+    recordings whose key is divisible by `every`; they are searched, in blocks of a fixed size and at every offset, against
+    one recording of every class (work grows with queries times classes), and each recording gets its class's matches: the query classes other than its own, as
     query:offset:errors with the bit errors in thousandths, by query. Copies are never expanded into pairs.
     Audio that is null, unreadable, silent or shorter than a span has no fingerprint or one that only its equals share;
     recordings without frames are a class each and match nothing. Null keys: not queries, and null as a class name.
@@ -167,7 +208,8 @@ def align(prints: DataFrame, key: str, every: int = 50) -> DataFrame:
         def scan(batches):
             queries = _Queries(*shared.value)
             for batch in batches:
-                out = [(p, q, o, e) for p, c, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for q, o, e in queries.match(np.frombuffer(x, "<u4")) if q != c]
+                prints, own, heard = (batch.column(i).to_pylist() for i in range(3))
+                out = [(p, q, o, e) for p, c, found in zip(prints, own, queries.match([np.frombuffer(x, "<u4") for x in heard]), strict=True) for q, o, e in found if q != c]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["print", "query", "shift", "errors"])
 

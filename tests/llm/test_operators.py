@@ -251,3 +251,30 @@ def test_toxicity_cuts_count_the_labels_behind_the_sample():
     model._calibrate([""] * 40, y, np.ones(40, bool), behind)
     errors = lambda cut: behind[0] * np.sum((v >= cut) & (y == 0)) + behind[1] * np.sum((v < cut) & (y > 0))
     assert all(errors(c) == min(errors(x) for x in [-1, *(v + 0.25)]) for c in model.cuts)
+
+
+def aligned_somewhere(a, b):
+    """Whether some offset has an overlap that is long enough and bits that agree; by brute force."""
+    for off in range(-len(b) + 1, len(a)):
+        x, y = a[max(0, off) :], b[max(0, -off) :]
+        m = min(len(x), len(y))
+        if m >= min(media.OVERLAP, len(a), len(b)) and np.unpackbits((x[:m] ^ y[:m]).view(np.uint8)).mean() <= media.ERRORS:
+            return True
+    return False
+
+
+def test_recordings_with_held_notes_are_found_as_by_brute_force():
+    rng = np.random.default_rng(4)
+    held = lambda: np.full(20, 77, np.uint32)
+    draw = lambda: rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+    music = [draw() for _ in range(5)]
+    queries = media._Queries(list(range(5)), [np.r_[held(), x].astype("<u4").tobytes() for x in music])
+    flip = lambda x: x ^ np.packbits(rng.random((60, 32)) < 0.05).view(np.uint32)
+    found = real = 0
+    for k in range(40):
+        rec = np.r_[flip(music[k % 5]) if k < 30 else draw(), held()]
+        got = {q for q, _, _ in queries.match([rec])[0]}
+        want = {q for q in range(5) if aligned_somewhere(rec, queries.prints[q])}
+        assert got <= want
+        found, real = found + len(got), real + len(want)
+    assert real >= 30 and found >= 0.9 * real
