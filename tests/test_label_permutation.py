@@ -40,3 +40,11 @@ def test_against_brute_force(spark):
 def test_needs_two_groups(spark):
     rows = [(k, "a", [float(k)]) for k in range(9)] + [(10, "b", [1.0])]
     assert homology.label_permutation(spark.createDataFrame(rows, "k int, g string, x array<double>"), "k", "g", "x").count() == 0
+
+
+def test_registered_query_reports_dimension_0_alone_with_32_permutations(spark):
+    from braidwork.plans.registry import QUERIES
+
+    rows = {r["metric"]: r for r in QUERIES["label_permutation"](spark, "/root/testdata/sf0.001").collect()}
+    assert rows and not {"H1_count", "topological_complexity"} & set(rows)
+    assert all(abs(r.empirical_p * 33 - round(r.empirical_p * 33)) < 1e-3 for r in rows.values())
