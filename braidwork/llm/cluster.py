@@ -13,29 +13,65 @@ from pyspark.sql import functions as F
 ROW_FILTER_BITS = 1 << 24
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, one of our own (single-machine tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one of our own, in local mode alone: on a
+    cluster executors would not share it, so there it is an error. No setting of the session is changed."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="braidwork-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="braidwork-")
+        where = _OWN[context.applicationId]
     return where.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives the loss of executors, columns can be pruned."""
+    """Write to the shared folder and read back: cuts lineage, survives the loss of executors, columns can be pruned.
+    Tables lie under the application's id; discard() deletes one that nothing reads any more, clean() all."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/braidwork/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/braidwork/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote for these tables, once all that is made of them has been written too."""
+    for df in tables:
+        _delete(df.sparkSession, df._written)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that materialize() wrote in this application; for the end, when no result is read any more."""
+    _delete(spark, f"{shared_dir(spark)}/braidwork/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+HOT_SHARE = 200
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts come to Python in Arrow batches of at most so many rows, so that batches of long texts stay small on both
-    sides; a smaller setting of the session is kept."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, str(rows))
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """left join right on one key column, where many rows of `left` may hold the same key: keys with more than one in
+    HOT_SHARE of left's rows (so at most HOT_SHARE of them) are cut into that many parts by a hash of the column `by`,
+    and the rows of `right` that they meet are repeated for each part. Both tables are read twice, so write them first."""
+    counts = left.groupBy(key).count()
+    hot = counts.where(F.col("count") * HOT_SHARE > left.count()).select(key).collect() if left.limit(HOT_SHARE).count() == HOT_SHARE else []
+    hot = [r[0] for r in hot if r[0] is not None]
+    if not hot:
+        return left.join(right, key, how)
+    part = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(by), F.lit(HOT_SHARE))).otherwise(F.lit(0).cast("long"))
+    parts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(HOT_SHARE - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return left.withColumn("__part", part).join(right.withColumn("__part", F.explode(parts)), [key, "__part"], how).drop("__part")
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import materialize
+from .cluster import discard, materialize, spread_join
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,12 +19,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = materialize(both.distinct(), "edges")
     labels = materialize(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("next"))
+        near = spread_join(both, labels.select(F.col("node").alias("other"), "label"), "other", "node").groupBy("node").agg(F.min("label").alias("near"))
+        step = materialize(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("next")), "step")
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = step.join(jump, "next").select("node", "old", F.least("next", "far").alias("label"))
+        new = spread_join(step, jump, "next", "node").select("node", "old", F.least("next", "far").alias("label"))
         new = materialize(new, "labels")
         changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
+        discard(step, labels)
+        labels = new
         if not changed:
-            return labels
+            return labels.select("node", "label")

@@ -7,8 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import bound_batches
-from .words import U64, chunks, mix, shingles
+from .words import U64, chunks, mix, pieces, shingles
 
 SHINGLE = 5
 CONTAINMENT = 0.75
@@ -97,7 +96,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     Other columns of either table are ignored.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     schema = f"{key} long, item_id long, n_shared long, n_item long, containment double"
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     result = None
@@ -107,7 +105,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         def search(batches, shared=shared):
             index = ItemIndex(*shared.value, containment)
             size = np.array([len(s) for s in index.sets], np.int64)
-            for batch in batches:
+            for batch in pieces(batches, 1):
                 at, item, n = [], [], []
                 for words in chunks(batch.column(1), lower=True):
                     for d, o, m in index.search(*shingles(words, shingle)):
@@ -130,7 +128,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """`docs` without contaminated documents, other rows and columns unchanged. The test is made within each row's own
     scan, so rows with a null or repeated key are judged one by one by their own text."""
     spark = docs.sparkSession
-    bound_batches(spark)
     schema = docs.schema
     column = docs.columns.index(text)
     result = docs
@@ -139,7 +136,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
         def keep(batches, shared=shared):
             index = ItemIndex(*shared.value, containment)
-            for batch in batches:
+            for batch in pieces(batches, column):
                 ok = np.ones(batch.num_rows, bool)
                 for words in chunks(batch.column(column), lower=True):
                     for d, _, _ in index.search(*shingles(words, shingle)):

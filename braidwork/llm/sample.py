@@ -11,8 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bound_batches
-from .words import release
+from .words import pieces, release
 
 PER_CLASS = 3000
 MOST_BYTES = 200_000
@@ -74,14 +73,13 @@ class Adam:
 def score_documents(docs: DataFrame, key: str, text: str, model, threshold: float, carry: bool = False) -> DataFrame:
     """(key, held_out, score, predicted) of every row; or, carry=True, the rows of `docs` predicted 1, unchanged."""
     spark = docs.sparkSession
-    bound_batches(spark)
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))  # by value: workers need no installation
     if carry:
         at, schema = docs.columns.index(text), docs.schema
 
         def keep(batches):
             held = pickle.loads(shared.value)
-            for batch in batches:
+            for batch in pieces(batches, at):
                 yield batch.filter(pa.array(held.scores(batch.column(at)) >= threshold))
             release()
 
@@ -89,7 +87,7 @@ def score_documents(docs: DataFrame, key: str, text: str, model, threshold: floa
 
     def score(batches):
         held = pickle.loads(shared.value)
-        for batch in batches:
+        for batch in pieces(batches, 2):
             s = held.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
         release()

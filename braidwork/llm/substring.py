@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import RowFilter, bound_batches, buckets, materialize
-from .words import U64, Words, chunks, mix, mix_one, window_hashes
+from .cluster import RowFilter, buckets, materialize
+from .words import U64, Words, chunks, mix, mix_one, pieces, window_hashes
 
 WINDOW = 50
 _ROWS = "bucket int, kind int, doc long, mark long, n long, payload binary"
@@ -75,7 +75,7 @@ def _first_of(hashes, owner, keys):
 
 def _level_one(batches, n_buckets: int, window: int):
     """From (doc, mark, text): base rows (kind 2), known repeats (kind 1) and anchors to compare (kind 0)."""
-    for batch in batches:
+    for batch in pieces(batches, 2):
         valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
         keys = batch.column(0).fill_null(0).to_numpy()
         marks = batch.column(1).to_numpy()
@@ -151,7 +151,7 @@ def _compare(table: pa.Table, with_places: bool) -> pa.Table:
 
 def _level_two(batches, n_buckets: int, window: int):
     """From (doc, mark, text, arrays of surviving anchors): known repeats (kind 1) and windows to compare (kind 0)."""
-    for batch in batches:
+    for batch in pieces(batches, 2):
         keys, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         survivors = batch.column(3)
         hashes, owner, places, route = [], [], [], []
@@ -184,7 +184,7 @@ def _level_two(batches, n_buckets: int, window: int):
 
 def _cut(batches, window: int, names: list[str]):
     """From (doc, mark, text, arrays of covered window places): what is left of each text."""
-    for batch in batches:
+    for batch in pieces(batches, 2):
         removed, digest, left = [], [], []
         for words in chunks(batch.column(2)):
             for d in range(len(words)):
@@ -222,7 +222,6 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Repeated rows: each gets the same result. Empty table: no rows. Other columns are ignored.
     Windows are compared by 64-bit hashes.
     """
-    bound_batches(docs.sparkSession)
     mark = F.xxhash64(F.col(text))
     source = docs.select(F.col(key).cast("long").alias("doc"), mark.alias("mark"), F.col(text).alias("text"))
     n = buckets(source)

@@ -99,22 +99,36 @@ def test_ngram_join_is_brute_force(spark, texts, group):
 
 def test_ngram_join_without_rows_or_keys(spark):
     assert ngram_join.ngram_join(frame(spark, ["a b c"]).limit(0)).count() == 0
-    rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, "q r s")], "doc_id long, text string")
-    assert sorted(((r.doc_id, r.component_id) for r in ngram_join.ngram_join(rows).collect()), key=str) == [(3, 3), (None, 3), (None, None)]
+    rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, "q r s"), (0, "q r s t")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id) for r in ngram_join.ngram_join(rows).collect()), key=str) == [(0, 0), (3, 3), (None, 3), (None, None)]
+    # A row without a key joins two that are not linked themselves.
+    w = [f"w{i}" for i in range(54)]
+    chain = spark.createDataFrame([(8, " ".join(w[:44])), (None, " ".join(w[:50])), (5, " ".join(w[6:54]))], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.ngram_join(chain).collect()} == {5}
 
 
-def test_partitions_lose_no_link():
+def test_subsets_of_partitions_lose_no_link():
+    """Linked sets in a band share at least the slack, however the differences fall, unless both are poor in it."""
     rng = np.random.default_rng(1)
-    for n in (3, 4, 10, 60, 200, 900):
-        for _ in range(20):
-            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-            m = len(a) - len(a) // 7
-            b = np.unique(np.r_[a[:m], rng.integers(0, 2**63, len(a) // 7, dtype=np.uint64)])
-            if 4 * len(np.intersect1d(a, b)) < 3 * len(np.union1d(a, b)):
-                continue
-            band = max(set(ngram_join.bands(len(a))) & set(ngram_join.bands(len(b))))
-            (x, sx), (y, sy) = (ngram_join.signatures(v, band) for v in (a, b))
-            assert len(np.intersect1d(x, y)) >= max(sx, sy, 1)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+    met = 0
+    for n in (48, 63, 64, 90, 130, 200, 900, 3000):
+        for grow in (0, 0.05, 0.2, 1 / 3):
+            for _ in range(12):
+                a = np.unique(draw(n))
+                k = (len(a) + int(len(a) * (1 + grow))) // 7
+                lost = max(0, (k - int(len(a) * grow)) // 2)
+                b = np.unique(np.r_[rng.permutation(a)[: len(a) - lost], draw(max(0, int(len(a) * grow) + lost))])
+                if 4 * len(np.intersect1d(a, b)) < 3 * len(np.union1d(a, b)):
+                    continue
+                shared = set(ngram_join.bands(len(a))) & set(ngram_join.bands(len(b)))
+                assert shared
+                for band in shared - {0}:
+                    sig, of, poor = ngram_join.signatures([a, b], [band, band])
+                    if not poor.all():
+                        met += 1
+                        assert len(np.intersect1d(sig[of == 0], sig[of == 1])) >= ngram_join.slack_of(band, 0)
+    assert met > 200
 
 
 def test_components_of_chains_and_stars(spark):
