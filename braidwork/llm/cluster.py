@@ -61,17 +61,17 @@ HOT_SHARE = 200
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """left join right on one key column, where many rows of `left` may hold the same key: keys with more than one in
-    HOT_SHARE of left's rows (so at most HOT_SHARE of them) are cut into that many parts by a hash of the column `by`,
-    and the rows of `right` that they meet are repeated for each part. Both tables are read twice, so write them first."""
-    counts = left.groupBy(key).count()
-    hot = counts.where(F.col("count") * HOT_SHARE > left.count()).select(key).collect() if left.limit(HOT_SHARE).count() == HOT_SHARE else []
-    hot = [r[0] for r in hot if r[0] is not None]
+    """left join right on one key column, where many rows of `left` may hold the same key: a key with more than one in
+    HOT_SHARE of left's rows (there are fewer than HOT_SHARE of them) is cut into parts of at most that share by a hash of
+    the column `by`, and the rows of `right` that it meets are repeated for each part: all in all for at most twice
+    HOT_SHARE parts. Both tables are read twice, so write them first."""
+    total = left.count()
+    hot = left.groupBy(key).count().where(F.col("count") * HOT_SHARE > total).where(F.col(key).isNotNull()).collect() if total >= HOT_SHARE else []
     if not hot:
         return left.join(right, key, how)
-    part = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(by), F.lit(HOT_SHARE))).otherwise(F.lit(0).cast("long"))
-    parts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(HOT_SHARE - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    return left.withColumn("__part", part).join(right.withColumn("__part", F.explode(parts)), [key, "__part"], how).drop("__part")
+    parts = F.coalesce(F.create_map(*[F.lit(x) for k, n in hot for x in (k, -(-n * HOT_SHARE // total))])[F.col(key)], F.lit(1))
+    left = left.withColumn("__part", F.pmod(F.xxhash64(by), parts.cast("long")).cast("int"))
+    return left.join(right.withColumn("__part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))), [key, "__part"], how).drop("__part")
 
 
 def input_bytes(df: DataFrame) -> int:

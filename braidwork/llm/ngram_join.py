@@ -13,8 +13,10 @@ slack partitions where the other has the same signature, and the other has gone
 signatures or more. Sets under SMALL elements, and what the second exchange below takes, use the finest partition, where
 every feature is its own and all are shipped: linked sets share n - n // 4 or more.
 
-Signatures travel packed, bucket by bucket, 11 bytes each. A signature in at most GROUP nodes gives its pairs, counted;
-pairs whose counts can reach the slack are compared by their sets. A signature in more nodes gives no pairs: each of its
+Signatures travel packed, bucket by bucket, 11 bytes each. A signature in at most GROUP nodes gives its pairs, counted.
+Of pairs whose counts can reach the slack, those go whose outlines differ too much: an outline counts a set's elements in
+each cell of the domain, about six to a cell, and the counts of two sets cannot differ by more than the sets do. The rest
+are compared by their sets. A signature in more nodes gives no pairs: each of its
 nodes loses one from its slack instead. Two nodes miss each other only if both have lost all of it. Such nodes (members
 of large groups of near copies) are dealt out once more, by themselves and by the finest partition; nodes that stay used
 up can now only be linked if the smaller number of their crowded elements reaches 3(a+b)/7. They go through pivots: each
@@ -50,7 +52,7 @@ _SIG = 40
 _SHARED_BITS = U64((1 << 48) - 1)
 _PACKED = "bucket int, kind int, x long, y long, z long, n int, payload binary"
 _NAMES = ["bucket", "kind", "x", "y", "z", "n", "payload"]
-_FOUND = "kind int, a long, b long, c long, n int, m int"
+_FOUND = "kind int, a long, b long, c long, n int, m int, outline binary"
 
 
 def bands(size: int) -> list[int]:
@@ -112,6 +114,18 @@ def aliases(nodes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return scale << U64(40) | nodes >> U64(24)
 
 
+def outline(elements: np.ndarray) -> bytes:
+    """How many elements lie in each of 2**j equal cells of the domain, up to 255, a byte each."""
+    bits = max(4, (len(elements) // 6).bit_length())
+    return np.minimum(np.bincount((elements >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def apart(x, y) -> int:
+    """A lower bound of the number of elements that only one of two sets has, by their outlines."""
+    x, y = sorted((np.frombuffer(v.as_buffer(), np.uint8).astype(np.int64) for v in (x, y)), key=len)
+    return int(np.abs(x - np.minimum(y.reshape(len(x), -1).sum(1), 255)).sum())
+
+
 def _shipped(sets, nodes, n_buckets: int, fine: bool):
     """(bucket, payload) rows of the signatures of these sets, and which sets are poor in bands (a bit for each)."""
     poor = np.zeros(len(sets), np.int64)
@@ -136,7 +150,7 @@ def _shipped(sets, nodes, n_buckets: int, fine: bool):
     sig, of = np.concatenate(sig), np.concatenate(of)
     alias = aliases(np.array(nodes, U64), np.array([len(s) for s in sets]))
     bucket = (sig >> U64(_SIG)) % U64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket << U64(_SIG) | sig & U64((1 << _SIG) - 1))
     sig, alias, bucket = sig[order], alias[of[order]], bucket[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     low, high = sig.astype(np.uint32), (sig >> U64(32)).astype(np.uint8)
@@ -171,7 +185,8 @@ def _pack(batches, n_buckets: int):
         m = batch.num_rows
         poor = poor[[place[int(x)] for x in nodes]] if m else poor
         alias = aliases(nodes, sizes)
-        payload = pa.array([int(a).to_bytes(8, "little") for a in alias], pa.binary())
+        lines = [outline(x) for x in sets]
+        payload = pa.array([int(a).to_bytes(8, "little") + lines[place[int(x)]] for a, x in zip(alias, nodes, strict=True)], pa.binary())
         bucket = (mix(keys.fill_null(0).to_numpy().view(U64)) % U64(n_buckets)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.ones(m, np.int32)), keys, pa.array(signed(nodes)), pa.array(poor), pa.array(sizes), payload], names=_NAMES)
         if rows:
@@ -241,23 +256,24 @@ def _reduce(table: pa.Table, group: int) -> pa.Table:
     signatures (kind 3: signature, alias, instance)."""
     kind = table.column("kind").to_numpy()
     base = table.filter(pa.array(kind == 1))
-    alias = np.frombuffer(b"".join(p.as_py() for p in base.column("payload")), np.int64)
+    carried = [p.as_py() for p in base.column("payload")]
+    alias = np.frombuffer(b"".join(p[:8] for p in carried), np.int64)
     nulls, types = (lambda m, t: pa.nulls(m, t)), [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     poor = base.column("z").combine_chunks().cast(pa.int32())
-    out = [[pa.array(np.full(base.num_rows, 1, np.int32)), base.column("x").combine_chunks(), base.column("y").combine_chunks(), pa.array(alias, pa.int64()), base.column("n").combine_chunks(), poor]]
+    out = [[pa.array(np.full(base.num_rows, 1, np.int32)), base.column("x").combine_chunks(), base.column("y").combine_chunks(), pa.array(alias, pa.int64()), base.column("n").combine_chunks(), poor, pa.array([p[8:] for p in carried], pa.binary())]]
     packed = table.filter(pa.array(kind == 0))
     if packed.num_rows:
         bucket = packed.column("bucket")[0].as_py()
         pairs, (sig, node) = _pairs(*_unpack(packed.column("payload")), group)
         if pairs:
             a, b, inst, count = pairs
-            out.append([pa.array(np.full(len(a), 2, np.int32)), pa.array(signed(a)), pa.array(signed(b)), nulls(len(a), types[3]), pa.array(count), pa.array(inst)])
+            out.append([pa.array(np.full(len(a), 2, np.int32)), pa.array(signed(a)), pa.array(signed(b)), nulls(len(a), types[3]), pa.array(count), pa.array(inst), nulls(len(a), pa.binary())])
         if len(sig):
             m = len(sig)
-            out.append([pa.array(np.full(m, 3, np.int32)), pa.array(signed(sig | U64(bucket) << U64(_SIG))), pa.array(signed(node)), nulls(m, types[3]), nulls(m, types[4]), pa.array((sig & U64(_INST)).astype(np.int32))])
+            out.append([pa.array(np.full(m, 3, np.int32)), pa.array(signed(sig | U64(bucket) << U64(_SIG))), pa.array(signed(node)), nulls(m, types[3]), nulls(m, types[4]), pa.array((sig & U64(_INST)).astype(np.int32)), nulls(m, pa.binary())])
     packed = table = None
     release()
-    return pa.concat_tables(pa.Table.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks == 1 else c for c in part], names=["kind", "a", "b", "c", "n", "m"]) for part in out)
+    return pa.concat_tables(pa.Table.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks == 1 else c for c in part], names=["kind", "a", "b", "c", "n", "m", "outline"]) for part in out)
 
 
 def _exchange(packed: DataFrame, n: int, group: int) -> DataFrame:
@@ -282,10 +298,20 @@ def _candidates(found: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     slack = F.greatest(_slack(F.col("inst"), F.col("na")), _slack(F.col("inst"), F.col("nb")))
     enough = slack - F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
     pairs = pairs.where((F.col("shared") >= enough) & F.expr("3 * na <= 4 * nb AND 3 * nb <= 4 * na"))
-    pairs = pairs.select(F.least("aa", "bb").alias("a"), F.greatest("aa", "bb").alias("b"))
+    pairs = materialize(pairs.select(F.least("aa", "bb").alias("a"), F.greatest("aa", "bb").alias("b")).distinct(), "pairs")
+    for s in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(s), F.col("n").alias("n" + s), F.col("outline").alias("o" + s)), s)
+
+    def sift(batches):
+        for batch in batches:
+            a, b, na, nb, oa, ob = (batch.column(i) for i in range(6))
+            least = np.array([apart(x, y) for x, y in zip(oa, ob, strict=True)], np.int64)
+            yield batch.select([0, 1]).filter(pa.array(7 * least <= na.to_numpy().astype(np.int64) + nb.to_numpy()))
+
+    pairs = pairs.select("a", "b", "na", "nb", "oa", "ob").mapInArrow(sift, "a long, b long")
     # The few nodes of one alias have not been told apart.
     twins = nodes.groupBy("alias").agg(F.collect_list("node").alias("x")).where("size(x) > 1").select("x", F.explode("x").alias("a")).select("a", F.explode("x").alias("b")).where("a < b")
-    used = materialize(used.join(nodes.select("node", "n", "alias"), "node"), "used")
+    used = materialize(used.join(nodes.select("node", "n", "alias", "outline"), "node"), "used")
     return materialize(pairs.unionAll(twins).distinct(), "candidates"), used
 
 
@@ -321,13 +347,13 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         release()
 
     found = docs.mapInArrow(find, "rep long, node long, elements binary")
-    return materialize(found.join(wanted, ["node", "rep"]).dropDuplicates(["node"]).select("node", "elements"), "sets")
+    return materialize(found.dropDuplicates(["node", "rep"]).join(wanted, ["node", "rep"]).select("node", "elements"), "sets")
 
 
 def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) with shared and union sizes, from the sets of both nodes. Pairs must be written; a may be met often, b not."""
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    """(a, b) with shared and union sizes, from the sets of both nodes. Pairs must be written; a may be met often, b not.
+    Only sets that some pair may need are shuffled."""
+    left, right = (RowFilter(pairs, s, hashed=True).keep(sets, "node").select(F.col("node").alias(s), F.col("elements").alias("e" + s)) for s in "ab")
     both = spread_join(pairs.select("a", "b"), left, "a", "b").join(right, "b").select("a", "b", "ea", "eb")
 
     def compare(batches):
@@ -415,8 +441,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     n = min(3 * buckets(source), 1 << 23)  # small enough to sort in little memory
     found = _exchange(source.mapInArrow(lambda batches: _pack(batches, n), _PACKED), n, group)
-    base = found.where("kind = 1").select(F.col("a").alias(key), F.col("b").alias("node"), F.col("n").alias("n_shingles"), F.col("c").alias("alias"), F.col("m").alias("poor"))
-    nodes = base.groupBy("node").agg(F.min(key).alias("rep"), F.max("n_shingles").alias("n"), F.max("alias").alias("alias"), F.max("poor").alias("poor"))
+    base = found.where("kind = 1").select(F.col("a").alias(key), F.col("b").alias("node"), F.col("n").alias("n_shingles"), F.col("c").alias("alias"), F.col("m").alias("poor"), "outline")
+    nodes = base.groupBy("node").agg(F.min(key).alias("rep"), F.max("n_shingles").alias("n"), F.max("alias").alias("alias"), F.max("poor").alias("poor"), F.first("outline").alias("outline"))
     nodes = materialize(nodes, "nodes")
     able = nodes.where("n >= 1")
     pairs, used = _candidates(found, able)
@@ -424,9 +450,9 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
     wanted = materialize(wanted.join(nodes, "node").select("node", F.coalesce("rep", F.lit(0).cast("long")).alias("rep")), "wanted")
     sets = _sets(source, wanted)
     discard(wanted)
-    crowded = sets.join(used.select("node"), "node", "left_semi")
+    crowded = RowFilter(used, "node", hashed=True).keep(sets, "node").join(used.select("node"), "node", "left_semi")
     again = _exchange(crowded.mapInArrow(lambda batches: _pack_sets(batches, n), _PACKED), n, group)
-    members = used.select("node", "n", "alias", F.lit(0).alias("poor"))
+    members = used.select("node", "n", "alias", F.lit(0).alias("poor"), "outline")
     more, used = _candidates(again, members)
     crowd = again.where("kind = 3").select(F.col("a").alias("sig"), F.col("b").alias("alias")).join(used, "alias").select("sig", "node", "n", "lost")
     crowd = _leading(materialize(crowd, "crowd"))

@@ -131,6 +131,20 @@ def test_subsets_of_partitions_lose_no_link():
     assert met > 200
 
 
+def test_outlines_never_overstate_how_sets_differ():
+    rng = np.random.default_rng(2)
+    pa = pytest.importorskip("pyarrow")
+    for n, m in ((3, 3), (40, 52), (95, 97), (700, 800), (4000, 5200)):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for common in (0, n // 2, n):
+            b = np.unique(np.r_[a[:common], rng.integers(0, 2**64, max(0, m - common), dtype=np.uint64)])
+            crowded = np.unique(rng.integers(0, 2**56, m, dtype=np.uint64))  # all in few cells
+            for x, y in ((a, b), (b, a), (a, crowded), (crowded, np.r_[crowded[5:], b])):
+                y = np.unique(y)
+                bound = ngram_join.apart(*(pa.scalar(ngram_join.outline(v), pa.binary()) for v in (x, y)))
+                assert bound <= len(np.setxor1d(x, y))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
