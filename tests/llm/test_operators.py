@@ -190,19 +190,52 @@ def test_decontamination_is_exact(spark, texts):
     assert kept == set(range(len(texts))) - {d for d, _ in expected}
 
 
+def kept_shares(rows, d):
+    """Expected kept tokens and own tokens of each value, as shares of all tokens."""
+    total, kept, own = sum(r.n_tokens for r in rows), collections.Counter(), collections.Counter()
+    for r in rows:
+        kept[r[d]] += r.n_tokens * r.rate / total
+        own[r[d]] += r.n_tokens / total
+    return kept, own
+
+
 def test_mixing_meets_its_marginals(spark, texts):
-    df = frame(spark, [t for t in texts if t] * 3)
-    rows = mixing.mix(df, rate=0.6).collect()
-    assert len(rows) == df.count()
-    total = sum(r.n_tokens for r in rows)
-    assert abs(sum(r.n_tokens * r.rate for r in rows) / total - 0.6) < 0.01
-    share = lambda d: {v: sum(r.n_tokens * r.weight for r in rows if r[d] == v) / total for v in {r[d] for r in rows}}
-    own = lambda d: {v: sum(r.n_tokens for r in rows if r[d] == v) / total for v in {r[d] for r in rows}}
-    for d in ("source", "lang", "topic"):
-        flat = {v: s**0.5 for v, s in own(d).items()}
-        for v, s in share(d).items():
-            assert abs(s - flat[v] / sum(flat.values())) < 0.01
-    assert mixing.sampled(df, rate=0.6).count() == sum(r.kept for r in rows) and mixing.mix(df.limit(0)).count() == 0
+    df = frame(spark, texts * 3)
+    rows = mixing.mix(df).collect()
+    assert len(rows) == df.count() and all(0 <= r.rate <= 1 for r in rows)
+    rates = mixing.cell_rates(mixing._rows(df, "doc_id", "text")).collect()
+    for d in mixing.DIMS:
+        kept, own = kept_shares(rows, d)
+        target = {r[d]: r["target_" + d] for r in rates}
+        wish = {v: s**0.5 for v, s in own.items() if s}
+        free = {v for v in wish if target[v] < 0.9499 * own[v]}
+        for v, s in own.items():
+            assert abs(kept[v] - target[v]) <= 0.01 * target[v] + 1e-9 and target[v] <= 0.9501 * s
+        ratio = [target[v] / wish[v] for v in free]
+        assert max(ratio, default=1) <= 1.001 * min(ratio, default=1)  # in proportion to the tempered shares
+        assert all(target[v] / wish[v] <= 1.001 * min(ratio, default=1) for v in wish)
+    assert mixing.sampled(df).count() == sum(r.kept for r in rows) and mixing.mix(df.limit(0)).count() == 0
+    none = mixing.mix(spark.createDataFrame([(None, None, None, None)] * 2 + [(1, "", "x", "y")], "doc_id long, text string, source string, lang string")).collect()
+    assert [(r.n_tokens, r.topic) for r in none] == [(0, "d")] * 3
+
+
+def test_mixing_of_the_tables_meets_its_marginals(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, rates = mixing.mix(docs).collect(), mixing.cell_rates(mixing._rows(docs, "doc_id", "text")).collect()
+    for d in mixing.DIMS:
+        kept, _ = kept_shares(rows, d)
+        assert abs(sum(kept.values()) - mixing.RATE) < 2e-3
+        for v, t in {r[d]: r["target_" + d] for r in rates}.items():
+            assert abs(kept[v] - t) <= 0.01 * t
+
+
+def test_mixing_to_stated_targets_lowers_the_rate(spark):
+    rows = [(i, "some words here are written", "s1" if i % 10 else "s2", "en", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    topic = mixing.F.lit("t")
+    out = mixing.mix(df, topic=topic, targets={"source": {"s1": 0.5, "s2": 0.5}, "lang": {"en": 1.0}, "topic": {"t": 1.0}}).collect()
+    kept, own = kept_shares(out, "source")
+    assert abs(kept["s2"] - 0.95 * own["s2"]) < 1e-3 and abs(kept["s1"] + kept["s2"] - 0.8) < 2e-3  # s2 cannot give half
 
 
 def test_html_extraction():
