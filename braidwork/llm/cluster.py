@@ -60,13 +60,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 HOT_SHARE = 200
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """left join right on one key column, where many rows of `left` may hold the same key: a key with more than one in
     HOT_SHARE of left's rows (there are fewer than HOT_SHARE of them) is cut into parts of at most that share by a hash of
     the column `by`, and the rows of `right` that it meets are repeated for each part: all in all for at most twice
-    HOT_SHARE parts. Both tables are read twice, so write them first."""
+    HOT_SHARE parts. Both tables are read twice, so write them first. counts: (key, count) where they are known."""
     total = left.count()
-    hot = left.groupBy(key).count().where(F.col("count") * HOT_SHARE > total).where(F.col(key).isNotNull()).collect() if total >= HOT_SHARE else []
+    counts = left.groupBy(key).count() if counts is None else counts
+    hot = counts.where(F.col("count") * HOT_SHARE > total).where(F.col(key).isNotNull()).collect() if total >= HOT_SHARE else []
     if not hot:
         return left.join(right, key, how)
     parts = F.coalesce(F.create_map(*[F.lit(x) for k, n in hot for x in (k, -(-n * HOT_SHARE // total))])[F.col(key)], F.lit(1))

@@ -1,9 +1,10 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-Every document is an array of line hashes. Each two consecutive lines make a gram; of every two consecutive grams the
-smaller is a fingerprint (winnowing with a window of two), so a run of three lines or more always has one, and equal
-runs have the same. Each fingerprint met before is joined to where it was met first, the match is extended both ways
-along its diagonal, and every run of two lines or more on it is deleted from the later document.
+Every document is an array of line hashes. Of every two consecutive lines the one with the smaller hash is a fingerprint
+(winnowing with a window of two), so every run of two lines or more has one, and equal runs have the same. Positions of a
+fingerprint are joined by what stands beside them: the match is extended to the left with the first position that has
+the same line on its left, and to the right with the first that has the same line on its right. Whatever meets an
+earlier position so is part of a run that was there before; such matches chain to whole runs, and go.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import materialize
+from .cluster import discard, materialize, spread_join
+
+_NO_LINES = "CAST(array() AS array<int>)"
 
 
 def _hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -21,53 +24,47 @@ def _hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _fingerprints(base: DataFrame) -> DataFrame:
-    """(d, m, p, g): the gram g at line p."""
-    grams = F.expr("CASE WHEN size(h) < 2 THEN array() ELSE transform(sequence(0, size(h) - 2), i -> h[i] * 3 + h[i + 1]) END")
-    chosen = F.expr("CASE WHEN size(g) < 2 THEN sequence(0, size(g) - 1) ELSE array_distinct(transform(sequence(0, size(g) - 2), j -> IF(g[j] <= g[j + 1], j, j + 1))) END")
-    rows = base.select("d", "m", grams.cast("array<long>").alias("g")).where("size(g) > 0").withColumn("p", F.explode(chosen))
-    return rows.select("d", "m", "p", F.expr("g[p]").alias("g"))
+    """(d, m, p, f, beside, side, at): the fingerprint f at line p, extended by the line beside it: side -1 its left, 1 its
+    right one; `at` is the first of the two lines. One row for each two consecutive lines."""
+    pairs = base.where("size(h) > 1").select("d", "m", F.posexplode(F.expr("transform(sequence(0, size(h) - 2), i -> named_struct('x', h[i], 'y', h[i + 1]))")).alias("at", "w"))
+    left = F.col("w.x") <= F.col("w.y")
+    return pairs.select("d", "m", "at", F.when(left, F.col("w.x")).otherwise(F.col("w.y")).alias("f"), F.when(left, F.col("w.y")).otherwise(F.col("w.x")).alias("beside"), F.when(left, 1).otherwise(-1).alias("side"))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: (key, n_lines, n_removed, removed): removed lists the deleted lines' places from 0.
 
     Lines are what newlines separate, unchanged. Documents count in the order of their keys (those of one key in the
-    order of a hash of their text); identical rows of one key are one document, and each row gets its result. Deleted
-    are all lines in runs of two or more on the diagonals on which some fingerprint meets its first occurrence. Runs of
-    three lines or more that repeat are always met; single lines never go. Within a document later runs go too.
+    order of a hash of their text); identical rows of one key are one document, and each row gets its result. Deleted is
+    every line in a run of two lines or more that stands, line by line, at an earlier place: in an earlier document or
+    further up in the same one, piece by piece where it takes several earlier places to make it up. Every such run is
+    met; a line that repeats by itself stays.
     Null or empty text: no lines. Null key: counts before all others. Empty table: no rows. Other columns are ignored.
-    A line shared by a third of all documents is one row a document in a sort-merge join that can be split by skew;
-    only the first occurrence is on its other side, so pairs grow with the fingerprints, not with their square.
+    Work grows with the lines, also within one document: each two lines are one row, that is joined to one first position.
+    Lines that a third of all documents share are spread over many tasks (cluster.spread_join).
     """
     base = materialize(_hashes(docs, key, text), "lines")
-    once = base.dropDuplicates(["d", "m"])
-    seeds = _fingerprints(once)
-    first = seeds.groupBy("g").agg(F.min(F.struct("d", "m", "p")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first.select("g", F.col("f.d").alias("d0"), F.col("f.m").alias("m0"), F.col("f.p").alias("p0")), "first")
-    met = seeds.join(first, "g").where("NOT (d <=> d0 AND m = m0 AND p = p0)")
-    met = materialize(met.select("d", "m", "d0", "m0", (F.col("p") - F.col("p0")).alias("shift")).distinct(), "met")
-    one, other = once.select("d", "m", "h"), once.select(F.col("d").alias("d0"), F.col("m").alias("m0"), F.col("h").alias("h0"))
-    same = lambda a, b, m, n: F.col(a).eqNullSafe(F.col(b)) & (F.col(m) == F.col(n))
-    x, y = met.alias("x"), one.alias("y")
-    both = x.join(y, same("x.d", "y.d", "x.m", "y.m")).select("x.d", "x.m", "d0", "m0", "shift", "h").alias("x")
-    both = both.join(other.alias("z"), same("x.d0", "z.d0", "x.m0", "z.m0")).select("d", "m", "shift", "h", "h0")
-    both = both.withColumn("lo", F.expr("greatest(0, shift)")).withColumn("hi", F.expr("least(size(h), size(h0) + shift)"))
-    both = both.withColumn("e", F.expr("transform(sequence(lo, hi - 1), i -> h[i] = h0[i - shift])")).select("d", "m", "lo", "e")
-    gone = F.expr("transform(filter(sequence(0, size(e) - 1), i -> e[i] AND (coalesce(get(e, i - 1), false) OR coalesce(get(e, i + 1), false))), i -> i + lo)")
-    removed = both.select("d", "m", F.explode(gone).alias("line")).groupBy("d", "m").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    removed = materialize(removed, "removed")
-    out = base.select("d", "m", F.size("h").cast("long").alias("n_lines")).alias("x").join(removed.alias("y"), same("x.d", "y.d", "x.m", "y.m"), "left")
-    places = F.coalesce("removed", F.array().cast("array<int>"))
+    seeds = _fingerprints(base.dropDuplicates(["d", "m"])).withColumn("g", F.xxhash64("f", "beside", "side"))
+    seeds = materialize(seeds, "seeds")
+    first = seeds.groupBy("g", "f", "beside", "side").agg(F.min(F.struct("d", "m", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first.select("g", F.col("f").alias("f0"), F.col("beside").alias("beside0"), F.col("side").alias("side0"), "first", "n"), "first")
+    met = spread_join(seeds, first, "g", "d", counts=first.groupBy("g").agg(F.sum("n").alias("count"))).where("f = f0 AND beside = beside0 AND side = side0 AND NOT (d <=> first.d AND m = first.m AND at = first.at)")
+    gone = met.select("d", "m", F.explode(F.array("at", F.col("at") + 1)).alias("line"))
+    removed = materialize(gone.groupBy("d", "m").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
+    discard(seeds, first)
+    x, y = base.select("d", "m", F.size("h").cast("long").alias("n_lines")).alias("x"), removed.alias("y")
+    out = x.join(y, F.col("x.d").eqNullSafe(F.col("y.d")) & (F.col("x.m") == F.col("y.m")), "left")
+    places = F.coalesce("removed", F.expr(_NO_LINES))
     return out.select(F.col("x.d").alias(key), "n_lines", F.size(places).cast("long").alias("n_removed"), places.alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with the repeated lines taken out of the texts (keys must be unique here)."""
-    removed = repeated_lines(docs, key, text).where("n_removed > 0").select(F.col(key).alias("__k"), "removed")
-    lines = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    out = docs.join(removed, F.col(key) == F.col("__k"), "left")
-    return out.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    """`docs` with the repeated lines taken out of the texts (keys must be unique here). What stands between two deleted
+    lines is cut out whole, so that a document's lines are looked at once."""
+    removed = repeated_lines(docs, key, text).where("n_removed > 0").select(F.col(key).alias("__k"), F.col("removed").alias("__gone"))
+    out = docs.withColumn("__lines", F.split(F.col(text), "\n")).join(removed, F.col(key) == F.col("__k"), "left")
+    kept = F.expr("array_join(flatten(transform(sequence(0, size(__gone)), i -> slice(__lines, IF(i = 0, 0, __gone[i - 1] + 1) + 1, IF(i = size(__gone), size(__lines), __gone[i]) - IF(i = 0, 0, __gone[i - 1] + 1)))), '\n')")
+    return out.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,20 +72,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("removed", F.array_join(F.transform("removed", lambda i: i.cast("string")), ","))
 
 
+#: The same from its definition: each two lines are looked up whole, without fingerprints.
 ORACLE_SQL = """
-WITH base AS (SELECT doc_id AS d, CASE WHEN coalesce(text, '') = '' THEN []::BIGINT[]
-    ELSE list_transform(string_split(text, chr(10)), lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT) END AS h FROM documents),
-g AS (SELECT d, list_transform(range(1, len(h)), lambda i: h[i] * 3 + h[i + 1]) AS g FROM base WHERE len(h) > 1),
-seeds AS (SELECT d, p, g[p + 1] AS g FROM (SELECT d, g, unnest(CASE WHEN len(g) = 1 THEN [0]
-    ELSE list_distinct(list_transform(range(1, len(g)), lambda j: CASE WHEN g[j] <= g[j + 1] THEN j - 1 ELSE j END)) END) AS p FROM g)),
-firsts AS (SELECT g, min({'d': d, 'p': p}) AS f FROM seeds GROUP BY g HAVING count(*) > 1),
-met AS (SELECT DISTINCT d, f.d AS d0, p - f.p AS shift FROM seeds JOIN firsts USING (g) WHERE NOT (d = f.d AND p = f.p)),
-joined AS (SELECT met.d, met.d0, shift, x.h, y.h AS h0 FROM met JOIN base x ON x.d = met.d JOIN base y ON y.d = met.d0),
-eq AS (SELECT d, d0, shift, i, h[i + 1] = h0[i - shift + 1] AS e FROM (
-    SELECT *, unnest(range(greatest(0, shift), least(len(h), len(h0) + shift))) AS i FROM joined)),
-near AS (SELECT d, i, e AND (coalesce(lag(e) OVER w, false) OR coalesce(lead(e) OVER w, false)) AS gone FROM
-    eq WINDOW w AS (PARTITION BY d, d0, shift ORDER BY i)),
-removed AS (SELECT d, list_sort(list(DISTINCT i)) AS r FROM near WHERE gone GROUP BY d)
+WITH base AS (SELECT doc_id AS d, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS h FROM documents),
+pairs AS (SELECT d, i, h[i + 1] AS x, h[i + 2] AS y FROM (SELECT d, h, unnest(range(0, len(h) - 1)) AS i FROM base WHERE len(h) > 1)),
+seen AS (SELECT d, i, row_number() OVER (PARTITION BY x, y ORDER BY d, i) AS nth FROM pairs),
+gone AS (SELECT DISTINCT d, unnest([i, i + 1]) AS line FROM seen WHERE nth > 1),
+removed AS (SELECT d, list_sort(list(line)) AS r FROM gone GROUP BY d)
 SELECT base.d AS doc_id, len(h)::BIGINT AS n_lines, coalesce(len(r), 0)::BIGINT AS n_removed, coalesce(array_to_string(r, ','), '') AS removed
 FROM base LEFT JOIN removed USING (d)
 """

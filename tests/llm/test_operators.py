@@ -169,15 +169,46 @@ def test_substring_dedup_is_brute_force(spark, texts):
     assert [r.n_removed for r in substring.substring_dedup(null_key).collect()] == [0, 0]
 
 
+def brute_lines(texts):
+    seen, out = set(), {}
+    for i, t in enumerate(texts):
+        lines = t.split("\n") if t else []
+        gone = set()
+        for j in range(len(lines) - 1):
+            if (lines[j], lines[j + 1]) in seen:
+                gone |= {j, j + 1}
+            seen.add((lines[j], lines[j + 1]))
+        out[i] = (len(lines), sorted(gone))
+    return out
+
+
 def test_repeated_lines(spark):
     run = "alpha\nbeta\ngamma\ndelta"
     df = frame(spark, [run, "x\n" + run + "\ny", None, "", "alpha\nq", run + "\n" + "m\nn\no\nm\nn\no", run])
     got = {r.doc_id: (r.n_lines, r.removed) for r in linededup.repeated_lines(df).collect()}
     assert got == {0: (4, []), 1: (6, [1, 2, 3, 4]), 2: (0, []), 3: (0, []), 4: (2, []), 5: (10, [0, 1, 2, 3, 7, 8, 9]), 6: (4, [0, 1, 2, 3])}
-    assert {r.doc_id: r.text for r in linededup.without_repeated_lines(df).collect()}[1] == "x\ny"
+    cut = {r.doc_id: r.text for r in linededup.without_repeated_lines(df).collect()}
+    assert (cut[0], cut[1], cut[2], cut[3], cut[5], cut[6]) == (run, "x\ny", None, "", "m\nn\no", "")
     assert linededup.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_lines_are_brute_force(spark, texts):
+    rng = np.random.default_rng(6)
+    more = ["p\nq\nB\nC\nr\ns", "A\nB\nC\nD", "A\nB\nC\nD", "B\nC", "\n\n\n\n", "\n"] + ["\n".join(rng.choice(list("abcdef "), rng.integers(1, 40))) for _ in range(80)]
+    every = more + texts
+    got = {r.doc_id: (r.n_lines, r.removed) for r in linededup.repeated_lines(frame(spark, every)).collect()}
+    assert got == brute_lines(every)
+
+
+def test_repeated_lines_with_null_and_repeated_keys_and_long_texts(spark):
+    long = "\n" * 50000
+    rows = [(None, "a\nb\nc"), (4, "z\na\nb"), (4, "z\na\nb"), (5, "z\na"), (6, long), (7, None)]
+    got = collections.Counter((r.doc_id, r.n_removed) for r in linededup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(None, 0): 1, (4, 2): 2, (5, 2): 1, (6, 50000): 1, (7, 0): 1}
+    unique = spark.createDataFrame([(6, long), (7, "a")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.without_repeated_lines(unique).collect()} == {6: "", 7: "a"}
+
+
 def test_decontamination_is_exact(spark, texts):
     item = " ".join(words(texts[130])[10:45])
     items = spark.createDataFrame([(1, item), (2, item.upper()), (3, None), (4, "no such words in any text here"), (None, item), (5, "one")], "item_id long, text string")
