@@ -277,9 +277,39 @@ def test_html_extraction():
     assert htmltext.main_text("<script>var t='</p>';</script><style>p{}</style>") == ""
 
 
+POLISH = "Rzeka płynie przez całą dolinę, a wzdłuż brzegów rosną wierzby, które każdej wiosny zielenią się pierwsze. " * 3
+CHINESE = "春天来了，河边的柳树开始发芽，孩子们在草地上放风筝，老人们坐在长椅上晒太阳，谈论着过去的日子和将来的收成，远处的山上还留着一点白雪。" * 2
+ENGLISH = "The river runs through the valley and it is known for the willows that stand on both of its banks in the spring. " * 3
+
+
+@pytest.mark.parametrize("text", [POLISH, CHINESE, ENGLISH])
+def test_html_pages_without_an_article(text):
+    body = text.strip()
+    page = f"""<body><div class="site-header"><a href=/>Home</a></div><ul class=menu><li><a href=/a>First</a><li><a href=/b>Second</a></ul><h1>Title here</h1><p>{body}</p><p>{body}</p>
+    <div id="comments"><p>{body}</p></div><div class="left-sidebar"><p>{body[:90]}</p></div><div class="cookie-notice">We use cookies on this site</div><div id=footer>© someone</div>"""
+    assert htmltext.main_text(page) == f"Title here\n{body}\n{body}"
+
+
+def test_html_names_of_elements():
+    page = '<article><div class="long-form has-sidebar"><div class="entry-header"><h1>Head</h1></div><header>Byline</header><p>One</p><div class="post-share"><p>Share it</p></div><p data-id="share">Two</p></div></article>'
+    assert htmltext.main_text(page) == "Head\nByline\nOne\nTwo"
+    bulk = f'<article><h1>Head</h1><div class="widget"><p>{ENGLISH}</p></div><div class="user-comments"><p>{ENGLISH * 9}</p></div></article>'
+    assert htmltext.main_text(bulk) == "Head\n" + ENGLISH.strip()  # a cue on what holds most of the article does not count
+    assert htmltext.main_text('<div class="header"><p>Name</p></div><main><p>Text</p><aside>By the way</aside><form>Write us</form></main>') == "Text"
+
+
+def test_html_pages_cut_anywhere():
+    page = f"<html><body><nav><a href='/x'>x</a></nav><article><h1>A &amp; B</h1><p class='lead'>{ENGLISH}</p><!-- note --><p>End</p></article></body></html>"
+    whole = htmltext.main_text(page)
+    for n in range(0, len(page), 7):
+        assert htmltext.main_text(page[:n])[:4] in ("", *(whole[:k] for k in range(1, 5)), "A &", "A &a")
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", "<article><p>é b</p></article>", "t"), (2, None, None, "t")], "page_id long, url string, html string, text string")
     assert [tuple(r) for r in htmltext.extract_text(rows).collect()] == [(1, "u", "é b", 3), (2, None, "", 0)]
+    twice = htmltext.extract_text(rows.unionAll(rows)).collect()
+    assert sorted(r.n_chars for r in twice) == [0, 0, 3, 3] and htmltext.extract_text(rows.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("op, label", [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
