@@ -1,4 +1,8 @@
-"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy, thresholds by language."""
+"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy, thresholds by language.
+
+Filters of several widths run over the words; of each filter the TOP largest outputs in the text are pooled, in order, so
+that the network can tell one stray word from several.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ VOCABULARY = 1 << 16
 WIDTH = 12
 FILTERS = 8
 SIZES = (1, 2, 3)
+TOP = 4
 THRESHOLD = 0.5
 #: Frequent words by which a text's language is told, for the thresholds alone.
 LANGUAGES = {
@@ -48,7 +53,7 @@ class ToxicityModel:
         self.table = rng.normal(0, 0.05, (VOCABULARY, WIDTH)).astype(np.float32)
         self.kernels = [rng.normal(0, 0.3, (s, WIDTH, FILTERS)).astype(np.float32) for s in SIZES]
         self.bias = [np.zeros(FILTERS, np.float32) for _ in SIZES]
-        self.out, self.shift = rng.normal(0, 0.3, FILTERS * len(SIZES)).astype(np.float32), np.zeros(1, np.float32)
+        self.out, self.shift = rng.normal(0, 0.3 / TOP, (TOP, FILTERS * len(SIZES))).astype(np.float32), np.zeros(1, np.float32)
         self.cuts = np.zeros(len(LANGUAGES) + 1)
         self.tongue = np.zeros(VOCABULARY, np.int8)
         for i, listed in enumerate(LANGUAGES.values()):
@@ -72,7 +77,7 @@ class ToxicityModel:
         odds -= np.log(n[0] / n[1])  # a word not met at all has none
         self.table[:, 0] = np.clip(odds, -1.5, 3) / 2
         self.kernels[0][0, :, 0] = 0
-        self.kernels[0][0, 0, 0], self.bias[0][0], self.out[0] = 1.0, -1.0, 2.0
+        self.kernels[0][0, 0, 0], self.bias[0][0], self.out[:, 0] = 1.0, -1.0, 2.0 / TOP
 
     def _embed(self, ids):
         return self.table[ids].sum(1)
@@ -95,32 +100,32 @@ class ToxicityModel:
                     continue
                 x = np.zeros((len(ids) + _PAD, WIDTH), np.float32)
                 x[: len(ids)] = self._embed(ids)
-                zs = self._layers(x)
-                at = [z.argmax(0) for z in zs]
-                pooled = np.concatenate([z[a, np.arange(FILTERS)] for z, a in zip(zs, at, strict=True)])
+                z = np.concatenate(self._layers(x), 1)
+                top = min(TOP, len(z))
+                at = np.argsort(-z, axis=0, kind="stable")[:top]
+                pooled = np.take_along_axis(z, at, 0)
                 on = np.maximum(pooled, 0)
-                g = float((sigmoid(on @ self.out + self.shift[0]) - y[d]) * weight[d])
+                g = float((sigmoid(np.sum(on * self.out[:top]) + self.shift[0]) - y[d]) * weight[d])
                 if abs(g) < 1e-3:
                     continue
-                gp = g * self.out * (pooled > 0)
-                gk, gb, gx = [], [], {}
-                for i, (k, a) in enumerate(zip(self.kernels, at, strict=True)):
-                    gi = gp[i * FILTERS : (i + 1) * FILTERS]
-                    dk = np.zeros_like(k)
+                gp = g * self.out[:top] * (pooled > 0)
+                gx, gk, gb = np.zeros_like(x), [], []
+                for i, k in enumerate(self.kernels):
+                    own = slice(i * FILTERS, (i + 1) * FILTERS)
+                    gi, place = gp[:, own], at[:, own]
+                    gk.append(np.stack([np.einsum("tfw,tf->wf", x[place + j], gi) for j in range(len(k))]))
+                    gb.append(gi.sum(0))
                     for j in range(len(k)):
-                        dk[j] = x[a + j].T * gi
-                        for f in np.flatnonzero(gi):
-                            gx[a[f] + j] = gx.get(a[f] + j, 0) + gi[f] * k[j][:, f]
-                    gk.append(dk)
-                    gb.append(gi)
-                for p, s, gr in zip(params, square, [*gk, *gb, g * on, np.array([g], np.float32)], strict=True):
+                        np.add.at(gx, place + j, gi[:, :, None] * k[j].T)
+                go = np.zeros_like(self.out)
+                go[:top] = g * on
+                for p, s, gr in zip(params, square, [*gk, *gb, go, np.array([g], np.float32)], strict=True):
                     s += gr * gr
                     p -= rate * gr / np.sqrt(s)
-                for position, gr in gx.items():
-                    if position < len(ids):
-                        rows = ids[position]
-                        table_square[rows] += float(gr @ gr) / WIDTH
-                        self.table[rows] -= (rate / np.sqrt(table_square[rows]))[:, None] * gr
+                moved = np.flatnonzero(np.any(gx[: len(ids)], axis=1))
+                places, gr = ids[moved].ravel(), np.repeat(gx[moved], ids.shape[1], axis=0)
+                np.add.at(table_square, places, np.sum(gr * gr, axis=1) / WIDTH)
+                np.subtract.at(self.table, places, (rate / np.sqrt(table_square[places]))[:, None] * gr)
 
     def _calibrate(self, texts, y, fold, behind):
         logit, tongue = self.logits(pa.array(texts, pa.string()))
@@ -151,8 +156,12 @@ class ToxicityModel:
             valid = np.repeat(np.arange(len(full)), counts[full])
             place = np.arange(len(ids)) + _PAD * valid
             starts = np.r_[0, np.cumsum(counts[full])[:-1]]
-            zs = [np.maximum.reduceat(z[place], starts, axis=0) for z in self._layers(x)]
-            out[words.row + full] = np.maximum(np.concatenate(zs, 1), 0) @ self.out + self.shift[0]
+            z = np.ascontiguousarray(np.concatenate([z[place] for z in self._layers(x)], 1).T)
+            pooled = np.zeros((len(full), TOP, len(z)), np.float32)
+            for i, (lo, n) in enumerate(zip(starts, counts[full], strict=True)):
+                top = min(TOP, n)
+                pooled[i, :top] = -np.sort(-np.partition(z[:, lo : lo + n], n - top, axis=1)[:, n - top :], axis=1).T
+            out[words.row + full] = np.tensordot(np.maximum(pooled, 0), self.out, 2) + self.shift[0]
             known = np.stack([np.add.reduceat(self.tongue[ids[:, 0]] == i, starts, dtype=np.int64) for i in range(1, len(LANGUAGES) + 1)], 1)
             tongue[words.row + full] = np.where(known.max(1) > 0, known.argmax(1) + 1, 0)
         return out, tongue
