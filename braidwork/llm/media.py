@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import materialize
+from .words import pieces
 
 RATE = 4000
 FRAME, HOP = 512, 128
@@ -19,6 +20,8 @@ ERRORS = 0.2
 OVERLAP = 24
 BLOCK = 2048
 PAD, CELLS, KEPT = 64, 1 << 17, 1 << 26
+#: The fingerprint of a span without energy: every difference is nought.
+SILENT = np.uint32(0x55555555)
 
 
 def decode(data: bytes | None) -> np.ndarray:
@@ -55,8 +58,8 @@ def chroma(x: np.ndarray) -> np.ndarray:
     """Frames by 12 pitch classes, each frame of unit length (silence: zeros)."""
     if len(x) < FRAME:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * np.hanning(FRAME)
-    c = np.abs(np.fft.rfft(frames)) ** 2 @ _pitch_classes()
+    frames, classes = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP], _pitch_classes()
+    c = np.concatenate([np.abs(np.fft.rfft(frames[i : i + BLOCK] * np.hanning(FRAME))) ** 2 @ classes for i in range(0, len(frames), BLOCK)])
     norm = np.linalg.norm(c, axis=1, keepdims=True)
     return np.where(norm > 1e-6, c / np.maximum(norm, 1e-12), 0)
 
@@ -95,7 +98,7 @@ def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
     """(key, n_frames, prints): prints is the fingerprint as packed little-endian integers. One scan, no shuffle."""
 
     def scan(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             prints = [fingerprint(chroma(decode(x))).astype("<u4").tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) // 4 for p in prints], pa.int64()), pa.array(prints, pa.binary())], names=[key, "n_frames", "prints"])
 
@@ -134,7 +137,8 @@ class _Queries:
     def match(self, recordings: list[np.ndarray]) -> list[list[tuple[int, int, float]]]:
         """For each recording (query, offset, bit error rate) of every query that aligns with it: of all offsets with enough
         overlap, the one with the fewest wrong bits a frame (of equals the longest overlap, then the smallest), if that is
-        within ERRORS. Correlation of the bits finds the pairs that can be, with room for rounding; they are then counted."""
+        within ERRORS. Frames that are silent in both count neither as overlap nor as equal. Correlation of the bits finds
+        the pairs that can be, with room for rounding; they are then counted."""
         out: list[list] = [[] for _ in recordings]
         like: dict[int, list[int]] = {}
         for r, p in enumerate(recordings):
@@ -149,20 +153,36 @@ class _Queries:
                     own = lengths[at : at + step]
                     spectrum, (_, overlap, fits) = self._spectrum(key, at, step, size), _overlaps(n, own, width)
                     least = np.where(fits, 32 * overlap * (1 - 2 * ERRORS) - 0.5 - 1e-5 * 32 * overlap, np.inf).T[:, :, None].astype(np.float32)
+                    still = (stack[at : at + step] == SILENT) & (np.arange(stack.shape[1]) < own[:, None])
+                    still = np.fft.rfft(still.astype(np.float32), size, axis=1) if still.any() else None
                     for g in range(0, len(rs), group):
                         some = rs[g : g + group]
                         heard = np.fft.rfft(_signs(np.stack([recordings[r] for r in some])), size, axis=1).transpose(1, 2, 0)
                         agree = np.fft.irfft(spectrum @ heard, size, axis=0)[:width]
-                        for k, r in np.argwhere((agree >= least).any(0)):
+                        quiet = np.stack([recordings[r] for r in some]) == SILENT
+                        if still is not None and quiet.any():
+                            hush = np.fft.rfft(quiet.astype(np.float32), size, axis=1)
+                            both = np.round(np.fft.irfft(still[:, None] * hush[None], size, axis=2)).transpose(2, 0, 1)[:width]
+                            # 32 bits agree in a frame silent in both, of which the share (1 - 2 * ERRORS) was asked for.
+                            enough = agree - 32 * 2 * ERRORS * both >= least
+                            enough &= overlap.T[:, :, None] - both >= np.minimum(OVERLAP, np.minimum(n, own))[None, :, None]
+                        else:
+                            enough = agree >= least
+                        for k, r in np.argwhere(enough.any(0)):
                             out[some[r]] += self._count(int(qs[at + k]), recordings[some[r]])
         return out
 
     def _count(self, q: int, prints: np.ndarray) -> list[tuple[int, int, float]]:
         own, n = self.prints[q][::-1], len(prints)
         wrong = np.zeros(n + len(own) - 1, np.int64)  # place i + (last - j): frame i on the query's frame j
+        quiet, still = np.zeros(n + len(own) - 1, np.int64), own == SILENT
         for i in range(n):
             wrong[i : i + len(own)] += np.bitwise_count(own ^ prints[i])
+            if prints[i] == SILENT:
+                quiet[i : i + len(own)] += still
         offset, overlap, fits = (x.ravel() for x in _overlaps(n, np.array([len(own)]), len(wrong)))
+        overlap = overlap - quiet
+        fits &= overlap >= min(OVERLAP, n, len(own))
         rate = np.where(fits, wrong / (32 * np.maximum(overlap, 1)), 2.0)
         best = np.flatnonzero(rate == rate.min())
         best = best[np.argmax(overlap[best])]
@@ -189,8 +209,10 @@ def align(prints: DataFrame, key: str, every: int = 50) -> DataFrame:
     recordings whose key is divisible by `every`; they are searched, in blocks of a fixed size and at every offset, against
     one recording of every class (work grows with queries times classes), and each recording gets its class's matches: the query classes other than its own, as
     query:offset:errors with the bit errors in thousandths, by query. Copies are never expanded into pairs.
-    Audio that is null, unreadable, silent or shorter than a span has no fingerprint or one that only its equals share;
-    recordings without frames are a class each and match nothing. Null keys: not queries, and null as a class name.
+    Audio that is null, unreadable or shorter than a span has no fingerprint: recordings without frames are a class each
+    and match nothing. Silence matches nothing but what has the same fingerprint, and silent stretches add nothing to a
+    match. Repeated keys: each row gets the result of its own recording. Empty table: no rows. Very long recordings are
+    read in blocks of frames. Null keys: not queries, and null as a class name.
     """
     spark = prints.sparkSession
     own = F.when(F.col("n_frames") == 0, F.concat(F.lit("none"), F.coalesce(F.col(key).cast("string"), F.lit("")))).otherwise(F.sha2("prints", 256))
@@ -207,7 +229,7 @@ def align(prints: DataFrame, key: str, every: int = 50) -> DataFrame:
 
         def scan(batches):
             queries = _Queries(*shared.value)
-            for batch in batches:
+            for batch in pieces(batches, 2):
                 prints, own, heard = (batch.column(i).to_pylist() for i in range(3))
                 out = [(p, q, o, e) for p, c, found in zip(prints, own, queries.match([np.frombuffer(x, "<u4") for x in heard]), strict=True) for q, o, e in found if q != c]
                 if out:

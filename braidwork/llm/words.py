@@ -68,7 +68,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     if len(column) == 0 or offsets is None:
@@ -183,8 +183,3 @@ def pieces(batches, column: int, limit: int = 4 << 20):
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U64, copy=False).view(np.int64)
-
-
-def binary_column(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """A binary column over one buffer; offsets are bytes."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])

@@ -346,6 +346,51 @@ def test_recordings_are_aligned(spark):
     assert rows[2].matches == "" and rows[10].n_frames == 0 and rows[10].n_matches == 0
 
 
+def wav(samples):
+    held = media.io.BytesIO()
+    with media.wave.open(held, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(media.RATE)
+        w.writeframes((np.asarray(samples) * 12000).astype("<i2").tobytes())
+    return held.getvalue()
+
+
+def tune(rng, notes, each=640):
+    t = np.arange(each) / media.RATE
+    return np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) for k in rng.integers(0, 24, notes)])
+
+
+def test_silence_matches_nothing_and_adds_nothing(spark):
+    rng = np.random.default_rng(9)
+    a, b = tune(rng, 30), tune(rng, 30)
+    still = np.zeros(20000)
+    sounds = {0: still[:8000], 1: still, 2: np.r_[still, a], 3: np.r_[a, still], 50: np.r_[still, b], 100: a, 4: np.r_[still, still, tune(rng, 30)], 150: still[:15000]}
+    rows = spark.createDataFrame([(k, wav(x)) for k, x in sounds.items()] + [(None, wav(b)), (2, wav(still))], "id long, audio binary")
+    out = media.align(media.fingerprints(rows, "id", "audio"), "id").collect()
+    got = {(r.id, r.n_frames): [int(m.split(":")[0]) for m in r.matches.split()] for r in out}
+    by = lambda k: sorted(x for (i, _), v in got.items() if i == k for x in v)
+    assert len(out) == 10 and by(0) == by(1) == by(4) == by(150) == []
+    assert by(2) == by(3) == [100] and by(None) == [50]
+    assert media.align(media.fingerprints(rows.limit(0), "id", "audio"), "id").count() == 0
+
+
+def test_recall_on_shifted_and_noisy_recordings():
+    """Excerpts at any sample and with noise are found among others; of the 870 other pairs few share OVERLAP frames by chance."""
+    rng = np.random.default_rng(10)
+    tunes = [tune(rng, 40) for _ in range(30)]
+    prints = [media.fingerprint(media.chroma(x)) for x in tunes]
+    queries = media._Queries(list(range(30)), [p.astype("<u4").tobytes() for p in prints])
+    found = wrong = 0
+    for k, x in enumerate(tunes):
+        at = int(rng.integers(0, len(x) // 2))
+        part = x[at : at + len(x) // 3] + rng.normal(0, 0.05, len(x) // 3)
+        got = {q for q, _, _ in queries.match([media.fingerprint(media.chroma(part))])[0]}
+        found += k in got
+        wrong += len(got - {k})
+    assert found >= 27 and wrong <= 0.04 * 870
+
+
 def test_media_decoding_of_bad_data():
     assert len(media.decode(None)) == len(media.decode(b"no wave")) == 0
     assert len(media.fingerprint(media.chroma(np.zeros(3)))) == 0
