@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 ROW_FILTER_BITS = 1 << 24
 
 
+BATCH_ROWS = 2000
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where that is unset, a temporary one of our own, in local mode alone: on a
-    cluster executors would not share it, so there it is an error. No setting of the session is changed."""
+    cluster executors would not share it, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         context = spark.sparkContext
@@ -32,10 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives the loss of executors, columns can be pruned.
-    Tables lie under the application's id; discard() deletes one that nothing reads any more, clean() all."""
+    Every setting of the session is afterwards as it was. Tables lie under the application's id; discard() deletes one that nothing reads any more, clean() all."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/braidwork/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:  # smaller batches for kernels while this is written, so that both sides hold less at once
+        if not 0 < int(rows) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
