@@ -176,3 +176,28 @@ CREDENTIALS = [
     ("BBB accredited", r"\bbbb\s*(?:accredited|a\+|rating)\b"), ("EPA certified", r"\bepa\s*(?:certified|certification)\b"), ("NATE certified", r"\bnate[- ]certified\b"), ("Certified arborist", r"\bcertified arborists?\b"),
 ]
 ALWAYS_OPEN = r"(?i)\b(24[/ ]?7|24 hours a day|open 24 hours|around the clock)\b"
+# Links that are a network's own, telephone numbers, street addresses, states, service areas, opening hours.
+GENERIC_SOCIAL = r"(?i)/(sponsors|explore|about|home|login|signup|share|intent|hashtag|search|pricing|features|topics|trending|watch|results|policies|legal|help)(/|$)"
+TEL_LINK = r"(?i)tel:\+?[\d\s().\-]{6,}"
+PHONE_TEXT = r"(?:\+\d{1,3}[\s.\-]?)?(?:\(\d{2,4}\)[\s.\-]?|\d{2,4}[\s.\-])\d{3,4}[\s.\-]?\d{3,4}\b"
+US_ADDRESS = r"(?i)\d{1,6}\s+[\w.'\-]+(?:\s+[\w.'\-]+){0,4}\s+(street|st|avenue|ave|road|rd|boulevard|blvd|drive|dr|lane|ln|way|suite|ste|floor|fl)\b[^\n]{0,60}"
+SERVICE_AREA = r"\b(?i:proudly serving|serving the|serving|service areas?|areas we serve|we serve|areas served)\b\s*:?\s*([A-Z][\w.'\-]*(?:[ ,&/]+(?:and\s+)?[A-Z][\w.'\-]*){0,8})"
+HOURS = r"(?i)\b(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?\s*[-–—to]{1,3}\s*(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?[^\n]{0,30}?\d{1,2}(?::\d{2})?\s*(?:am|pm)[^\n]{0,20}"
+TRAILING_STATE = r"\b([A-Z]{2})\b(?:\s+\d{5}(?:-\d{4})?)?\s*$"
+# Claims of age, of money raised, and of how many people work there.
+FOUNDED = r"(?i)\b(?:founded|established|est\.?|started|launched|since|serving\s+\w+\s+since)\s*(?:in\s+)?(19\d{2}|20[0-2]\d)\b"
+FUNDING = (
+    r"(?i)\b(?:raised|raising|closed|secured)\s+(?:a\s+|an\s+)?(?:\$|€|£)?[\d.]+\s*(?:million|billion|m\b|bn\b|k\b)?[^.\n]{0,40}|\bseries\s+[a-e]\b(?:\s+round)?|\b(?:seed|pre-seed)\s+(?:round|funding|investment)\b"
+    r"|\bbacked by\s+[A-Z][^.\n]{0,50}|\b(?:acquired by|acquisition by|merged with)\s+[A-Z][^.\n]{0,50}|\b(?:y ?combinator|techstars)\b(?:\s+\(?[WS]\d{2}\)?)?"
+)
+COUNT = r"(?<![\d,.])(\d{1,3}(?:,\d{3})+|\d{1,5})(?!\d|,\d)"
+APPROX = r"(?:about\s+|around\s+|over\s+|more than\s+|nearly\s+)?"
+NOT_PEOPLE = (
+    r"restaurants?|brands?|companies|businesses|stores?|shops?|locations?|products?|offices?|sites?|websites?|hotels?|clinics?|practices?|publications?|titles?|apps?|services?|communities|blogs?|newsletters?|"
+    r"podcasts?|projects?|labels?|studios?|franchises?|dealerships?|branches?|outlets?|brands|properties|vehicles?|trucks?|stores"
+)
+PERSON_NOUN = r"employees|people|staff|team members|professionals|engineers|designers|developers|consultants|technicians|specialists|advisors|advisers|experts|contractors|craftspeople|colleagues"
+HEADCOUNT = (
+    rf"(?i)\b(?:team of|we(?:'| a)?re a? ?team of|staff of|group of|family of|company of)\s+{APPROX}{COUNT}\b(?!\s+(?:{NOT_PEOPLE})\b)"
+    rf"|\b(?:we (?:have|employ)|employing|with a team of|our team of)\s+{APPROX}{COUNT}\+?\s+(?:{PERSON_NOUN})\b"
+)

@@ -7,7 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What an e-mail address is, whose addresses are no company's, how a copyright line reads.
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]{2,}"
+NO_EMAIL_HOST = r"(?i)@(example|sentry|wixpress|squarespace|godaddy|domain)\b"
+NO_EMAIL_END = r"(?i)\.(png|jpe?g|gif|svg|webp|css|js)$"
 COPYRIGHT = r"(?i)(?:©|&copy;|copyright)\s*(?:\d{4}\s*[–\-—]\s*)?(20\d{2})"
 _MONTH = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 
@@ -61,7 +64,7 @@ def industry_hits(text: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda x: F.lower(F.rtrim(x, F.lit("."))))), lambda x: ~x.rlike(r"@(example|sentry|wixpress|squarespace|godaddy|domain)\b") & ~x.rlike(r"\.(png|jpe?g|gif|svg|webp|css|js)$") & (F.length(x) <= 80))
+    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda x: F.lower(F.rtrim(x, F.lit("."))))), lambda x: ~x.rlike(NO_EMAIL_HOST) & ~x.rlike(NO_EMAIL_END) & (F.length(x) <= 80))
 
 
 def copyright_year(text: Column) -> Column:
@@ -69,7 +72,7 @@ def copyright_year(text: Column) -> Column:
 
 
 def dates(text: Column, today: Column) -> Column:
-    """Distinct valid dates from 2000 to today, in ascending order: ISO, month first, day first."""
+    """Valid dates from 2000 to today in the order of the patterns: all ISO ones, then month first, then day first."""
     iso = F.regexp_extract_all(text, F.lit(r"\b(20\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))\b"), F.lit(1))
     parts = lambda p, i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
     first, day = rf"(?i)\b{_MONTH}[a-z]*\.?\s+(\d{{1,2}}),?\s+(20\d{{2}})\b", rf"(?i)\b(\d{{1,2}})\s+{_MONTH}[a-z]*\.?,?\s+(20\d{{2}})\b"
@@ -80,7 +83,7 @@ def dates(text: Column, today: Column) -> Column:
         return F.transform(F.arrays_zip(parts(p, y).alias("y"), parts(p, m).alias("m"), parts(p, d).alias("d")), lambda x: F.concat_ws("-", x["y"], number(x["m"]), F.lpad(x["d"], 2, "0")))
 
     every = F.transform(F.concat(iso, joined(first, 3, 1, 2), joined(day, 3, 2, 1)), lambda x: F.try_to_date(x, "yyyy-MM-dd"))
-    return F.array_sort(F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (x <= today) & (F.year(x) >= 2000))))
+    return F.filter(every, lambda x: x.isNotNull() & (x <= today) & (F.year(x) >= 2000))
 
 
 def amount(text: Column) -> Column:

@@ -3,7 +3,7 @@
 Facts (null where not known): site, model, people, leadership, founded_age, prices, plans, customers, legal_pages,
 compliance, emails, phones, addresses, technologies, dependencies, service_area, hours, socials, open_roles, departments,
 last_content_age (days), posts_per_month, copyright_age (years), funding, home_words, words, key_roles, power_units,
-carrier_active (boolean), filing_age (days), carrier_refused, failures. Counts count as 0 when null; open_roles does not.
+carrier_active (boolean), filing_age (days), carrier_refused, failures, model_signals, motion (how it sells). Counts count as 0 when null; open_roles does not.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COUNTS = "people leadership prices plans customers legal_pages compliance emails phones addresses technologies dependencies service_area hours socials departments funding home_words words key_roles failures".split()
-OTHERS = {"model": "string", "founded_age": "int", "open_roles": "int", "last_content_age": "int", "posts_per_month": "double", "copyright_age": "int", "power_units": "int", "carrier_active": "boolean", "filing_age": "int", "carrier_refused": "string"}
+COUNTS = "people leadership prices plans customers legal_pages compliance emails phones addresses technologies dependencies service_area hours socials departments funding home_words words key_roles failures model_signals".split()
+OTHERS = {"model": "string", "motion": "string", "founded_age": "int", "open_roles": "int", "last_content_age": "int", "posts_per_month": "double", "copyright_age": "int", "power_units": "int", "carrier_active": "boolean", "filing_age": "int", "carrier_refused": "string"}
 
 
 def complete(facts: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def complete(facts: DataFrame) -> DataFrame:
     return facts.select("site", *[(F.coalesce(F.col(c).cast("int"), F.lit(0)) if c in here else F.lit(0)).alias(c) for c in COUNTS], *[(F.col(c) if c in here else F.lit(None)).cast(t).alias(c) for c, t in OTHERS.items()])
 
 
+# Fixed values in all rules below: thresholds, points, bands and weights.
 def ladder(value: Column, *steps: tuple[float, float], otherwise: float = 0.0) -> Column:
     """Points of the first step (at least, points) that the value reaches."""
     out = F.when(value >= steps[0][0], float(steps[0][1]))
@@ -71,7 +72,7 @@ def scores(facts: DataFrame) -> DataFrame:
     coverage = 75.0 * F.least(c("key_roles"), F.lit(7)) / 7 + ladder(c("words"), (6000, 25), (2500, 18), (800, 10), (200, 4))
     cap = lambda x: F.round(F.least(F.lit(100.0), x), 1)
     out = f.select("site", cap(maturity).alias("maturity"), cap(momentum).alias("momentum"), cap(transparency).alias("transparency"), cap(coverage).alias("coverage"), (~quiet).alias("momentum_assessable"))
-    return out.withColumns({"maturity_band": band(c("maturity"), FOOTPRINT_BANDS), "momentum_band": band(c("momentum"), BANDS), "transparency_band": band(c("transparency"), BANDS), "coverage_band": band(c("coverage"), BANDS)})
+    return out.withColumns({"maturity_band": band(c("maturity"), FOOTPRINT_BANDS), "momentum_band": F.when(~c("momentum_assessable"), "not assessable").otherwise(band(c("momentum"), BANDS)), "transparency_band": band(c("transparency"), BANDS), "coverage_band": band(c("coverage"), BANDS)})
 
 
 def _local():
@@ -111,7 +112,8 @@ def signals(facts: DataFrame) -> DataFrame:
     """(site, category, signal, weight) of what was observed."""
     c = F.col
     rules = [
-        ("commercial", "revenue_model", F.coalesce(c("model"), F.lit("unknown")) != "unknown", F.lit(0.7)), ("commercial", "public_pricing", c("prices") > 0, F.lit(0.8)), ("trust", "named_leadership", c("leadership") > 0, F.lit(0.7)),
+        ("commercial", "revenue_model", F.coalesce(c("model"), F.lit("unknown")) != "unknown", F.round(F.least(F.lit(0.9), 0.4 + 0.1 * c("model_signals")), 1)),
+        ("commercial", "public_pricing", c("prices") > 0, F.lit(0.8)), ("commercial", "sales_motion", F.coalesce(c("motion"), F.lit("unknown")) != "unknown", F.lit(0.6)), ("trust", "named_leadership", c("leadership") > 0, F.lit(0.7)),
         ("scale", "named_customers", c("customers") > 0, F.lit(0.6)), ("scale", "operating_history", c("founded_age").isNotNull(), F.lit(0.7)), ("momentum", "hiring", c("open_roles") > 0, F.lit(0.8)),
         ("momentum", "content_freshness", c("last_content_age").isNotNull(), F.when(c("last_content_age") <= 180, 0.8).otherwise(0.3)), ("operations", "platform_dependency", c("dependencies") > 0, F.lit(0.5)), ("trust", "compliance", c("compliance") > 0, F.lit(0.5)),
     ]

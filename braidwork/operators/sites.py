@@ -10,7 +10,8 @@ from ..functions import text as tx
 from ..functions import urls
 from ..functions.page import parse_page
 
-MULTI = ("team", "customers", "blog", "legal")
+# Roles of which a second page adds something.
+MULTI = ("legal", "product", "careers", "customers")
 
 
 def parsed(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame:
@@ -28,20 +29,24 @@ def links(page: DataFrame) -> DataFrame:
 
 
 def candidates(found: DataFrame, read: DataFrame | None = None, keep: int = 4, keep_legal: int = 6) -> DataFrame:
-    """(site, role, url, score, rank): links by role, best first, without localised copies and pages already read."""
+    """(site, role, url, score, linked, rank): links by role, best first, then those the site itself has (`linked`; without
+    that column all are) before guesses, then the shortest; without localised copies and pages already read."""
+    found = found if "linked" in found.columns else found.withColumn("linked", F.lit(True))
     scored = found.where(~urls.localised(F.col("url"))).withColumn("r", urls.classify(F.col("url"), F.col("text"))).where("r IS NOT NULL")
-    best = scored.groupBy("site", "url").agg(F.max("r").alias("r")).select("site", "url", "r.role", "r.score")
+    best = scored.groupBy("site", "url").agg(F.max("r").alias("r"), F.max("linked").alias("linked")).select("site", "url", "r.role", "r.score", "linked")
     if read is not None:
         best = best.join(read.select("site", "url"), ["site", "url"], "left_anti")
-    w = Window.partitionBy("site", "role").orderBy(F.desc("score"), F.length("url"), "url")
+    w = Window.partitionBy("site", "role").orderBy(F.desc("score"), F.desc("linked"), F.length("url"), "url")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.when(F.col("role") == "legal", keep_legal).otherwise(keep))
 
 
 def plan(ranked: DataFrame, budget: int = 20) -> DataFrame:
-    """One page for each role, two for roles where a second adds something, cut to the budget of a site."""
+    """The pages of a site to read, role by role in the order of the rules: one for each role, two for roles where a second
+    adds something, all in all one less than the budget, as the home page takes one."""
     chosen = ranked.where(F.col("rank") <= F.when(F.col("role").isin(*MULTI), 2).otherwise(1))
-    w = Window.partitionBy("site").orderBy("rank", F.desc("score"), "role", "url")
-    return chosen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= budget)
+    order = F.array_position(F.array(*[F.lit(r) for r, _, _ in urls.ROLE_RULES]), F.col("role"))
+    w = Window.partitionBy("site").orderBy(order, "rank")
+    return chosen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(1, budget - 1))
 
 
 def cadence(dated: DataFrame, today, window_days: int = 365) -> DataFrame:

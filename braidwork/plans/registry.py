@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import patterns as pt
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import carriers, homology, matrix, profiles, scoring, sites
+from ..operators import carriers, evidence, homology, matrix, profiles, scoring, sites
 from ..sources import loaders, sinks
 from ..streaming import cadence as stream
+from . import fixtures
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -208,14 +209,25 @@ def role_classification(t):
     return r.select("event_id", "r.role", "r.score")
 
 
-@query(_roles_sql() + f"b AS (SELECT url, max({{'score': score, 'rank': rank, 'role': role}}) AS b FROM r GROUP BY 1), k AS (SELECT {_HOST} AS site, b.role AS role, url, b.score AS score, row_number() OVER (PARTITION BY {_HOST}, b.role ORDER BY b.score DESC, length(url), url)::INT AS rank FROM b WHERE b.score > 0) SELECT * FROM k WHERE rank <= CASE WHEN role = 'legal' THEN 6 ELSE 4 END")
+_RANKED_SQL = _roles_sql() + f"b AS (SELECT url, max({{'score': score, 'rank': rank, 'role': role}}) AS b, bool_or(event_id % 3 <> 0) AS linked FROM r GROUP BY 1), k AS (SELECT {_HOST} AS site, b.role AS role, url, b.score AS score, linked, row_number() OVER (PARTITION BY {_HOST}, b.role ORDER BY b.score DESC, linked DESC, length(url), url)::INT AS rank FROM b WHERE b.score > 0) "
+
+
+def _ranked(t):
+    found = _made_links(t).withColumns({"site": urls.host_of(F.col("url")), "linked": F.col("event_id") % 3 != 0})
+    return sites.candidates(found)
+
+
+@query(_RANKED_SQL + "SELECT * FROM k WHERE rank <= CASE WHEN role = 'legal' THEN 6 ELSE 4 END")
 def link_candidates(t):
-    return sites.candidates(_made_links(t).withColumn("site", urls.host_of(F.col("url"))))
+    return _ranked(t)
 
 
-@query()
+@query(
+    _RANKED_SQL + ", chosen AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY list_position([" + ", ".join(f"'{r}'" for r, _, _ in urls.ROLE_RULES) + "], role), rank)::INT AS place FROM k"
+    " WHERE rank <= CASE WHEN role IN ('legal', 'product', 'careers', 'customers') THEN 2 ELSE 1 END) SELECT * FROM chosen WHERE place <= 5"
+)
 def page_plan(t):
-    return sites.plan(sites.candidates(_made_links(t).withColumn("site", urls.host_of(F.col("url")))), 6)
+    return sites.plan(_ranked(t), 6)
 
 
 _VISIBLE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<![^>]*>', '', 'gs'), '<script.*?</script>|<style.*?</style>', '', 'gs'), '<[^>]*>', chr(10), 'g'), chr(10) || '+', chr(10), 'g')"
@@ -352,13 +364,13 @@ def name_overlap(t):
 
 @query()
 def carrier_matches(t):
-    companies = t("supplier").select(F.col("s_suppkey").alias("company"), F.concat(F.lit("Kettle "), F.col("s_name"), F.lit(" Ltd.")).alias("name"), F.col("s_nationkey").cast("string").alias("state"))
-    found = t("customer").select((F.col("c_custkey") % 50).alias("company"), F.col("c_custkey").alias("usdot"), F.concat(F.lit("KETTLE SUPPLIER#"), F.lpad((F.col("c_custkey") % 60).cast("string"), 9, "0"), F.lit(" INC")).alias("legal_name"), F.lit("").alias("dba_name"), F.col("c_nationkey").cast("string").alias("state"))
+    companies = t("supplier").select(F.col("s_suppkey").alias("company"), F.concat(F.lit("Tarn "), F.col("s_name"), F.lit(" Ltd.")).alias("name"), F.col("s_nationkey").cast("string").alias("state"))
+    found = t("customer").select((F.col("c_custkey") % 50).alias("company"), F.col("c_custkey").alias("usdot"), F.concat(F.lit("TARN SUPPLIER#"), F.lpad((F.col("c_custkey") % 60).cast("string"), 9, "0"), F.lit(" INC")).alias("legal_name"), F.lit("").alias("dba_name"), F.col("c_nationkey").cast("string").alias("state"))
     return carriers.match_carriers(companies, found)
 
 
 _FACTS = {
-    "model": "(['saas','local_services','services','unknown'])[k % 4 + 1]", "people": "k % 12", "leadership": "k % 3", "founded_age": "CASE WHEN k % 5 > 0 THEN k % 14 END", "prices": "k % 4", "plans": "k % 3", "customers": "k % 7", "legal_pages": "k % 4",
+    "model": "(['saas','local_services','services','unknown'])[k % 4 + 1]", "motion": "(['self-serve','sales-led','hybrid','unknown'])[k % 4 + 1]", "model_signals": "k % 9", "people": "k % 12", "leadership": "k % 3", "founded_age": "CASE WHEN k % 5 > 0 THEN k % 14 END", "prices": "k % 4", "plans": "k % 3", "customers": "k % 7", "legal_pages": "k % 4",
     "compliance": "k % 3", "emails": "k % 2", "phones": "k % 3", "addresses": "k % 5", "technologies": "k % 9", "dependencies": "k % 2", "service_area": "k % 2", "hours": "k % 3", "socials": "k % 4", "open_roles": "CASE WHEN k % 6 > 0 THEN k % 13 END",
     "departments": "k % 5", "last_content_age": "CASE WHEN k % 8 > 0 THEN k % 900 END", "posts_per_month": "CASE WHEN k % 3 > 0 THEN (k % 11) / 2.0 END", "copyright_age": "CASE WHEN k % 9 > 0 THEN k % 5 END", "funding": "k % 2", "home_words": "k % 300",
     "words": "k % 7000", "key_roles": "k % 8", "power_units": "CASE WHEN k % 10 = 0 THEN k % 70 END", "carrier_active": "CASE WHEN k % 11 = 0 THEN k % 2 = 0 END", "filing_age": "CASE WHEN k % 10 = 0 THEN k % 1000 END",
@@ -383,8 +395,9 @@ def _facts(t):
  least(100, CASE WHEN leadership > 0 THEN 20 WHEN people > 0 THEN 10 ELSE 0 END + (addresses > 0)::INT * 15 + (phones > 0)::INT * 10 + (emails > 0)::INT * 10 + CASE WHEN legal_pages >= 2 THEN 15 WHEN legal_pages >= 1 THEN 8 ELSE 0 END + (compliance > 0)::INT * 10 + (prices > 0)::INT * 10 + (socials >= 2)::INT * 10)::DOUBLE AS transparency,
  round(least(100, 75.0::DOUBLE * least(key_roles, 7) / 7 + CASE WHEN words >= 6000 THEN 25 WHEN words >= 2500 THEN 18 WHEN words >= 800 THEN 10 WHEN words >= 200 THEN 4 ELSE 0 END), 1) AS coverage,
  NOT (model = 'local_services' AND last_content_age IS NULL AND coalesce(open_roles, 0) = 0 AND funding = 0) AS momentum_assessable FROM f)
- SELECT *, CASE WHEN maturity >= 75 THEN 'comprehensive' WHEN maturity >= 50 THEN 'substantial' WHEN maturity >= 25 THEN 'partial' ELSE 'sparse' END AS maturity_band,"""
-    + ", ".join(f" CASE WHEN {c} >= 75 THEN 'strong' WHEN {c} >= 50 THEN 'established' WHEN {c} >= 25 THEN 'emerging' ELSE 'thin' END AS {c}_band" for c in ("momentum", "transparency", "coverage"))
+ SELECT *, CASE WHEN maturity >= 75 THEN 'comprehensive' WHEN maturity >= 50 THEN 'substantial' WHEN maturity >= 25 THEN 'partial' ELSE 'sparse' END AS maturity_band,
+ CASE WHEN NOT momentum_assessable THEN 'not assessable' WHEN momentum >= 75 THEN 'strong' WHEN momentum >= 50 THEN 'established' WHEN momentum >= 25 THEN 'emerging' ELSE 'thin' END AS momentum_band,"""
+    + ", ".join(f" CASE WHEN {c} >= 75 THEN 'strong' WHEN {c} >= 50 THEN 'established' WHEN {c} >= 25 THEN 'emerging' ELSE 'thin' END AS {c}_band" for c in ("transparency", "coverage"))
     + " FROM s"
 )
 def score_cards(t):
@@ -403,7 +416,7 @@ def risk_flags(t):
     return scoring.flags(_facts(t))
 
 
-_SIGNAL_SQL = [("commercial", "revenue_model", "model <> 'unknown'", "0.7"), ("commercial", "public_pricing", "prices > 0", "0.8"), ("trust", "named_leadership", "leadership > 0", "0.7"), ("scale", "named_customers", "customers > 0", "0.6"), ("scale", "operating_history", "founded_age IS NOT NULL", "0.7"), ("momentum", "hiring", "open_roles > 0", "0.8"), ("momentum", "content_freshness", "last_content_age IS NOT NULL", "CASE WHEN last_content_age <= 180 THEN 0.8 ELSE 0.3 END"), ("operations", "platform_dependency", "dependencies > 0", "0.5"), ("trust", "compliance", "compliance > 0", "0.5")]
+_SIGNAL_SQL = [("commercial", "revenue_model", "model <> 'unknown'", "round(least(0.9, 0.4 + 0.1 * model_signals), 1)"), ("commercial", "sales_motion", "motion <> 'unknown'", "0.6"), ("commercial", "public_pricing", "prices > 0", "0.8"), ("trust", "named_leadership", "leadership > 0", "0.7"), ("scale", "named_customers", "customers > 0", "0.6"), ("scale", "operating_history", "founded_age IS NOT NULL", "0.7"), ("momentum", "hiring", "open_roles > 0", "0.8"), ("momentum", "content_freshness", "last_content_age IS NOT NULL", "CASE WHEN last_content_age <= 180 THEN 0.8 ELSE 0.3 END"), ("operations", "platform_dependency", "dependencies > 0", "0.5"), ("trust", "compliance", "compliance > 0", "0.5")]
 
 
 @query(_FACTS_SQL + " " + " UNION ALL ".join(f"SELECT site, '{c}' AS category, '{s}' AS signal, ({w})::DOUBLE AS weight FROM f WHERE {k}" for c, s, k, w in _SIGNAL_SQL))
@@ -421,3 +434,75 @@ def evidence_dedup(t):
 def cache_pruning(t):
     files = t("events").select(F.col("event_id").cast("string").alias("path"), F.round(F.col("value") * 100).cast("long").alias("bytes"), F.col("ts").alias("modified"))
     return loaders.prune_cache(files, "2024-01-31", 864000, 1_000_000).select("path", "bytes", "held")
+
+
+def _values(columns: str, *rows: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) v({columns})"
+
+
+def _company_pages(t):
+    """The fixture's pages, read through the table at hand, so that the session is the caller's."""
+    return fixtures.site_pages(t("region").sparkSession)
+
+
+@query(_values("site, network, url, pages", "('brightloom.com', 'GitHub', 'https://github.com/brightloom', 1::BIGINT)", "('brightloom.com', 'LinkedIn', 'https://linkedin.com/company/brightloom', 3::BIGINT)"))
+def social_accounts(t):
+    return evidence.socials(_company_pages(t))
+
+
+@query(_values("site, emails", "('brightloom.com', 'hello@brightloom.com press@brightloom.com')", "('oakpipe.com', 'office@oakpipe.com')"))
+def contact_emails(t):
+    return evidence.emails(_company_pages(t)).select("site", F.array_join("emails", " ").alias("emails"))
+
+
+@query(_values("site, phones", "('brightloom.com', '+1 503 555 0100')", "('oakpipe.com', '(614) 555-0177')"))
+def contact_phones(t):
+    return evidence.phones(_company_pages(t)).select("site", F.array_join("phones", "; ").alias("phones"))
+
+
+@query(_values("site, address, state", "('brightloom.com', '12 Spindle Row, Portland, OR, 97201', '')", "('oakpipe.com', '410 Miller Creek Road, Dublin, OH 43016', 'OH')"))
+def postal_addresses(t):
+    rows = evidence.addresses(_company_pages(t)).select("site", F.col("addresses")[0].alias("address"))
+    return rows.withColumn("state", F.coalesce(evidence.state_of(F.col("address")), F.lit("")))
+
+
+@query(_values("site, areas, hours, credentials", "('brightloom.com', '', '', 'SOC 2')", "('oakpipe.com', 'Franklin and Delaware County.', 'Mon - Sat 7 am to 6 pm', 'Licensed & insured')"))
+def service_areas(t):
+    rows = evidence.locality(_company_pages(t))
+    return rows.select("site", F.array_join("areas", "; ").alias("areas"), "hours", F.array_join("credentials", "; ").alias("credentials"))
+
+
+@query(_values("site, label, url", "('brightloom.com', 'Privacy at Brightloom', 'https://brightloom.com/privacy')", "('brightloom.com', 'Terms', 'https://brightloom.com/terms')"))
+def legal_pages(t):
+    return evidence.legal_pages(_company_pages(t))
+
+
+@query(_values("site, year, method", "('brightloom.com', 2014, 'json-ld')", "('oakpipe.com', 1987, 'regex')"))
+def founding_years(t):
+    return evidence.founded(_company_pages(t))
+
+
+@query(_values("site, funding", "('brightloom.com', 'raised $4 million from people who weave; seed round')"))
+def funding_mentions(t):
+    return evidence.funding(_company_pages(t)).select("site", F.array_join("funding", "; ").alias("funding"))
+
+
+@query(_values("site, people", "('brightloom.com', 42)", "('oakpipe.com', 0)"))
+def stated_headcount(t):
+    return profiles.corpus(_company_pages(t)).select("site", F.coalesce(evidence.headcount(F.col("text")), F.lit(0)).alias("people"))
+
+
+@query(_values("site, free_tier, trial, periods", "('brightloom.com', true, 21, '/ year, per month')", "('oakpipe.com', false, 0, '')"))
+def plan_terms(t):
+    return evidence.terms(profiles.corpus(_company_pages(t))).withColumns({"periods": F.array_join("periods", ", "), "trial": F.coalesce("trial", F.lit(0))})
+
+
+@query("SELECT page_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, links, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 250 OR links < 15 AS thin FROM (SELECT page_id, " + _DECODED + " AS text, len(regexp_extract_all(html, '<a [^>]*href')) AS links FROM pages)")
+def thin_pages(t):
+    page = evidence.thin(sites.parsed(t("pages")))
+    return t("pages").select("page_id", "url").join(page, "url").select("page_id", F.col("words").cast("long").alias("words"), F.col("links").cast("long").alias("links"), "thin")
+
+
+@query(_values("site, name", "('brightloom.com', 'Plausible')"))
+def technologies_found(t):
+    return profiles.technologies(_company_pages(t)).select("site", "name")
