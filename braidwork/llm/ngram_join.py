@@ -46,6 +46,7 @@ SMALL = 48
 SECOND, SPARED = 3, 1
 LOAD = 4
 BANDS = 24
+PART = 1 << 16
 _SUBSETS = list(combinations(range(SECOND), SECOND - SPARED))
 _INST = 31
 _SIG = 40
@@ -139,12 +140,15 @@ def _shipped(sets, nodes, n_buckets: int, fine: bool):
                 held.append(s)
                 held_of.append(i)
                 held_band.append(band)
-    if held:
-        more, at, bad = signatures(held, held_band)
-        held_of = np.array(held_of)
+    begin, upto = 0, np.cumsum([len(x) for x in held])
+    while begin < len(held):  # a part at a time, so that little memory is held besides what is shipped
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PART)))
+        more, at, bad = signatures(held[begin:end], held_band[begin:end])
+        owner, band = np.array(held_of[begin:end]), np.array(held_band[begin:end])
         sig.append(more)
-        of.append(held_of[at])
-        np.bitwise_or.at(poor, held_of[bad], 1 << np.array(held_band)[bad])
+        of.append(owner[at])
+        np.bitwise_or.at(poor, owner[bad], 1 << band[bad])
+        begin = end
     if not sig:
         return [], poor
     sig, of = np.concatenate(sig), np.concatenate(of)
@@ -167,7 +171,7 @@ def _packed_rows(rows) -> pa.RecordBatch:
 def _pack(batches, n_buckets: int):
     """From (key, text) batches: a base row for each document (key, node, bands in which it is poor, size, and its alias),
     and packed signatures for each bucket."""
-    for batch in pieces(batches, 1):
+    for batch in pieces(batches, 1, 2 << 20):
         keys, nodes, sizes, place, sets, own = batch.column(0), [], [], {}, [], []
         for words in chunks(batch.column(1), lower=True):
             found, at = shingles(words, SHINGLE)
@@ -191,7 +195,8 @@ def _pack(batches, n_buckets: int):
         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.ones(m, np.int32)), keys, pa.array(signed(nodes)), pa.array(poor), pa.array(sizes), payload], names=_NAMES)
         if rows:
             yield _packed_rows(rows)
-    release()
+        sets = rows = None
+        release()
 
 
 def _pack_sets(batches, n_buckets: int):
@@ -201,7 +206,8 @@ def _pack_sets(batches, n_buckets: int):
         rows, _ = _shipped(sets, batch.column(0).to_numpy().view(U64), n_buckets, True)
         if rows:
             yield _packed_rows(rows)
-    release()
+        sets = rows = None
+        release()
 
 
 def _unpack(payloads):
@@ -333,7 +339,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sift.map)
 
     def find(batches):
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, 2 << 20):
             keys = batch.column(0).fill_null(0).to_numpy().view(U64)
             out = [], [], []
             for words in chunks(batch.column(1), lower=True):
@@ -344,7 +350,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     for o, v in zip(out, (keys[words.row + d].view(np.int64), nodes[d].view(np.int64), packed(sets[d])), strict=True):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["rep", "node", "elements"])
-        release()
+            out = None
+            release()
 
     found = docs.mapInArrow(find, "rep long, node long, elements binary")
     return materialize(found.dropDuplicates(["node", "rep"]).join(wanted, ["node", "rep"]).select("node", "elements"), "sets")

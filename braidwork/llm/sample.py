@@ -73,6 +73,7 @@ class Adam:
 def score_documents(docs: DataFrame, key: str, text: str, model, threshold: float, carry: bool = False) -> DataFrame:
     """(key, held_out, score, predicted) of every row; or, carry=True, the rows of `docs` predicted 1, unchanged."""
     spark = docs.sparkSession
+    release()  # what training held on the driver
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))  # by value: workers need no installation
     if carry:
         at, schema = docs.columns.index(text), docs.schema
@@ -81,7 +82,7 @@ def score_documents(docs: DataFrame, key: str, text: str, model, threshold: floa
             held = pickle.loads(shared.value)
             for batch in pieces(batches, at):
                 yield batch.filter(pa.array(held.scores(batch.column(at)) >= threshold))
-            release()
+                release()
 
         return docs.mapInArrow(keep, schema)
 
@@ -90,6 +91,6 @@ def score_documents(docs: DataFrame, key: str, text: str, model, threshold: floa
         for batch in pieces(batches, 2):
             s = held.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
-        release()
+            release()
 
     return docs.select(F.col(key).cast("long").alias(key), held_out(key).alias("held_out"), F.col(text)).mapInArrow(score, f"{key} long, held_out boolean, score double, predicted int")
