@@ -48,6 +48,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """For operators whose result is a kernel over texts that runs only when the caller reads it: the session's Arrow
+    batches hold BATCH_ROWS rows at most from now on (a smaller setting stays), as vectors of long texts are what an
+    executor's memory goes to outside its heap. Kernels themselves cut batches by bytes (words.pieces)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what materialize() wrote for these tables, once all that is made of them has been written too."""
     for df in tables:
