@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,7 +98,17 @@ def role_scores(url: Column, anchor: Column) -> Column:
     return F.array(*out)
 
 
+def _winner(url: Column, anchor: Column) -> Column:
+    """The best role as an array of one, without any an empty array; the scores stand in the expression once."""
+    return F.filter(F.array(F.array_max(role_scores(url, anchor))), lambda best: best["score"] > 0)
+
+
 def classify(url: Column, anchor: Column) -> Column:
     """The best role and its score; the first in order of priority among equals; null without any."""
-    best = F.array_max(role_scores(url, anchor))
-    return F.when(best["score"] > 0, best)
+    return F.get(_winner(url, anchor), F.lit(0))
+
+
+def with_best_role(df: DataFrame, url: Column, anchor: Column) -> DataFrame:
+    """Rows that have a role, with `role` and `score`. A generator, so that neither the test for a role nor the reading of its
+    two fields repeats the patterns."""
+    return df.select("*", F.inline(_winner(url, anchor)).alias("score", "__rank", "role")).drop("__rank")

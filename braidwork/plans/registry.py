@@ -205,8 +205,7 @@ def _roles_sql() -> str:
 
 @query(_roles_sql() + "b AS (SELECT event_id, max({'score': score, 'rank': rank, 'role': role}) AS b FROM r GROUP BY 1) SELECT event_id, b.role AS role, b.score AS score FROM b WHERE b.score > 0")
 def role_classification(t):
-    r = _made_links(t).withColumn("r", urls.classify(F.col("url"), F.col("text"))).where("r IS NOT NULL")
-    return r.select("event_id", "r.role", "r.score")
+    return urls.with_best_role(_made_links(t), F.col("url"), F.col("text")).select("event_id", "role", "score")
 
 
 _RANKED_SQL = _roles_sql() + f"b AS (SELECT url, max({{'score': score, 'rank': rank, 'role': role}}) AS b, bool_or(event_id % 3 <> 0) AS linked FROM r GROUP BY 1), k AS (SELECT {_HOST} AS site, b.role AS role, url, b.score AS score, linked, row_number() OVER (PARTITION BY {_HOST}, b.role ORDER BY b.score DESC, linked DESC, length(url), url)::INT AS rank FROM b WHERE b.score > 0) "
