@@ -61,3 +61,49 @@ def match_carriers(companies: DataFrame, candidates: DataFrame) -> DataFrame:
         F.when(F.col("usdot").isNull(), "no record found").when(F.col("named") < MIN_NAME, "name too different").when(F.col("score") < MIN_TOTAL, "not sure enough").when(F.col("score") - F.coalesce("second", F.lit(-1.0)) < MIN_MARGIN, "two candidates too close")
     )
     return best.select("company", F.when(why.isNull(), F.col("usdot")).alias("usdot"), F.round("score", 4).alias("score"), why.alias("refused"))
+
+
+# Labels of a carrier's record, and the evidence fields made of it with how sure each is.
+RECORD = {
+    "usdot": "USDOT Number", "legal_name": "Legal Name", "dba_name": "DBA Name", "entity_type": "Entity Type", "operating_status": "USDOT Status",
+    "operating_authority": "Operating Authority Status", "out_of_service_date": "Out of Service Date", "power_units": "Power Units", "drivers": "Drivers",
+    "inspections": "Inspections", "crashes": "Crashes", "out_of_service_pct": "Out of Service %", "physical_address": "Physical Address", "phone": "Phone",
+    "mcs150_date": "MCS-150 Form Date", "mcs150_mileage": "MCS-150 Mileage (Year)", "operation_classification": "Operation Classification", "cargo_carried": "Cargo Carried",
+}
+EVIDENCE = [
+    ("power_units", 0.95), ("drivers", 0.95), ("operating_status", 0.95), ("operating_authority", 0.95), ("out_of_service_date", 0.95), ("inspections", 0.9), ("crashes", 0.9),
+    ("out_of_service_pct", 0.9), ("entity_type", 0.95), ("physical_address", 0.9), ("phone", 0.9), ("mcs150_date", 0.9), ("cargo_carried", 0.85),
+]
+
+
+def _cell(x: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), "&nbsp;|&#160;", " ")
+    return F.trim(F.regexp_replace(F.replace(plain, F.lit("&amp;"), F.lit("&")), r"[\s ]+", " "))
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """pages (usdot, url, html) of carrier snapshots to typed records, one each: labelled cells of its tables, the first of
+    equal labels; counts as digits, dates as month/day/year, "None" as empty. Pages with neither a name nor a number: none.
+    A carrier is active if its status is just that and it is not out of service."""
+    head, value = r"(?is)<th\b[^>]*>(.*?)</th>\s*<td\b[^>]*>(.*?)</td>", "html"
+    labels = F.transform(F.regexp_extract_all(value, F.lit(head), F.lit(1)), lambda x: F.rtrim(F.regexp_replace(_cell(x), ":+$", "")))
+    values = F.transform(F.regexp_extract_all(value, F.lit(head), F.lit(2)), _cell)
+    read = pages.select("usdot", "url", labels.alias("labels"), values.alias("values"))
+    field = lambda label: F.when(F.array_contains("labels", label), F.element_at("values", F.array_position("labels", label).cast("int"))).otherwise("")
+    out = read.select("url", F.col("usdot").alias("asked"), *[field(label).alias(c) for c, label in RECORD.items()]).where("legal_name <> '' OR usdot <> ''")
+    digits = lambda c: F.nullif(F.regexp_replace(F.col(c), r"\D", ""), F.lit("")).cast("int")
+    out = out.withColumns({c: digits(c) for c in ("power_units", "drivers", "inspections", "crashes")})
+    bare = F.trim(F.col("out_of_service_date"), F.lit(" -"))
+    out = out.withColumns({
+        "usdot": F.coalesce(F.nullif(F.col("usdot"), F.lit("")), F.col("asked")), "operating_authority": F.trim(F.split_part("operating_authority", F.lit("*"), F.lit(1))),
+        "out_of_service_date": F.when(F.lower(bare) == "none", "").otherwise(bare), "mcs150_date": F.try_to_date(F.regexp_extract("mcs150_date", r"\d{1,2}/\d{1,2}/\d{4}", 0), "M/d/yyyy"),
+    })
+    return out.withColumn("active", (F.upper("operating_status") == "ACTIVE") & (F.col("out_of_service_date") == "")).drop("asked")
+
+
+def evidence_rows(carriers: DataFrame) -> DataFrame:
+    """records, with match_score, to (usdot, place, field, value, url, confidence): who it is, then each field that is known."""
+    named = F.coalesce(F.nullif(F.col("dba_name"), F.lit("")), F.col("legal_name"))
+    rows = [F.struct(F.lit("fleet.usdot").alias("field"), F.concat(F.lit("USDOT "), F.col("usdot"), F.lit(" — "), named).alias("value"), F.col("match_score").cast("double").alias("confidence"))]
+    rows += [F.when(~F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "--"), F.struct(F.lit("fleet." + c).alias("field"), F.col(c).cast("string").alias("value"), F.lit(sure).alias("confidence"))) for c, sure in EVIDENCE]
+    return carriers.select("usdot", "url", F.posexplode(F.array_compact(F.array(*rows))).alias("place", "e")).select("usdot", "place", "e.field", "e.value", "url", "e.confidence")

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import matrix
 
@@ -132,12 +134,23 @@ def metrics(diagram: DataFrame) -> DataFrame:
 
 def betti_curve(diagram: DataFrame, dim: int, resolution: int = 200) -> DataFrame:
     """(cloud, step, x, betti) on an even grid from the first birth to the last death; a flat range is widened by one."""
+    last = resolution - 1
     finite = diagram.where(f"dim = {dim} AND death < double('inf')")
     ends = finite.groupBy("cloud").agg(F.min("birth").alias("lo"), F.max("death").alias("hi"))
     ends = ends.withColumn("hi", F.when(F.abs(F.col("hi") - F.col("lo")) <= 1e-9 * F.greatest(F.abs("hi"), F.abs("lo")), F.col("lo") + 1).otherwise(F.col("hi")))
-    grid = ends.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1)))).withColumn("x", F.when(F.col("step") == resolution - 1, F.col("hi")).otherwise(F.col("lo") + F.col("step") * ((F.col("hi") - F.col("lo")) / (resolution - 1))))
-    own = finite.select("cloud", "birth", "death")
-    return grid.join(own, "cloud").groupBy("cloud", "step", "x").agg(F.count_if((F.col("birth") <= F.col("x")) & (F.col("death") > F.col("x"))).alias("betti"))
+    at = lambda k: F.when(k >= last, F.col("hi")).otherwise(F.col("lo") + k * ((F.col("hi") - F.col("lo")) / last))
+
+    def reached(v):
+        """The first step whose x is not under the value; after the last step: none. Rounding is off by a step at most."""
+        near = F.least(F.lit(resolution), F.greatest(F.lit(0), F.ceil((v - F.col("lo")) / ((F.col("hi") - F.col("lo")) / last)))).cast("int")
+        near = F.when((near > 0) & (at(near - 1) >= v), near - 1).otherwise(near)
+        return F.when((near < resolution) & (at(near) < v), near + 1).otherwise(near)
+
+    turns = finite.select("cloud", F.inline(F.array(F.struct(F.col("birth").alias("v"), F.lit(1).alias("turn")), F.struct(F.col("death").alias("v"), F.lit(-1).alias("turn"))))).join(ends, "cloud")
+    turns = turns.groupBy("cloud", reached(F.col("v")).alias("step")).agg(F.sum("turn").alias("turn"))
+    grid = ends.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("x", at(F.col("step")))
+    running = F.sum(F.coalesce("turn", F.lit(0))).over(Window.partitionBy("cloud").orderBy("step"))
+    return grid.join(turns, ["cloud", "step"], "left").select("cloud", "step", "x", running.alias("betti"))
 
 
 def histogram(values: DataFrame, value: str = "value") -> DataFrame:
@@ -152,17 +165,23 @@ def histogram(values: DataFrame, value: str = "value") -> DataFrame:
 
 
 def pca(points: DataFrame, coordinates: str, k: int = 15) -> tuple[DataFrame, list[float]]:
-    """`points` with a column e of principal components, and their shares of the variance. The covariance matrix is
-    summed where the rows are (its size is the square of the width) and decomposed on the driver; data are centred."""
+    """`points` with a column e of principal components, and their shares of the variance. The products of
+    coordinates are summed batch by batch, one matrix a task (its size is the square of the width, not of the rows), and
+    decomposed on the driver; data are centred."""
     width = len(points.select(coordinates).first()[0])
     v = F.col(coordinates).cast("array<double>")
-    outer = points.select(v.alias("v")).select(F.posexplode(F.expr("flatten(transform(v, a -> transform(v, b -> a * b)))")).alias("at", "c")).groupBy("at").agg(F.sum("c").alias("c")).collect()
-    first = points.select(F.posexplode(v).alias("at", "c")).groupBy("at").agg(F.sum("c").alias("c"), F.count("c").alias("n")).collect()
-    n, mean, second = first[0].n, np.zeros(width), np.zeros(width * width)
-    for r in first:
-        mean[r["at"]] = r.c / n
-    for r in outer:
-        second[r["at"]] = r.c / n
+
+    def sums(batches):
+        n, mean, second = 0, np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, width)
+            n, mean, second = n + len(x), mean + x.sum(0), second + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mean.tolist()]), pa.array([second.ravel().tolist()])], names=["n", "s", "c"])
+
+    held = points.select(v.alias("v")).where("v IS NOT NULL").mapInArrow(sums, "n long, s array<double>, c array<double>")
+    added = held.select("n", F.posexplode(F.concat("s", "c")).alias("at", "c")).groupBy("at").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).orderBy("at").collect()
+    n, flat = added[0].n, np.array([r.c for r in added]) / max(added[0].n, 1)
+    mean, second = flat[:width], flat[width:]
     cov = second.reshape(width, width) - np.outer(mean, mean)
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
     keep = min(max(2, min(k, n, width)), width)

@@ -102,24 +102,59 @@ def prepare(df: DataFrame, key: str | None = None, label: str | None = None, sam
     return scaled, summary
 
 
+def order_bucket(df: DataFrame, column: str, ranges: int = 256) -> tuple[DataFrame, Column]:
+    """`df` and a bucket in the order of a column: by approximate quantiles of numbers, dates and times, by the first two
+    bytes of texts; nulls come first. Buckets share the work of a sort; their sizes change no result."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 2)), 4, "0")
+        return df, F.coalesce(F.conv(head, 16, 10).cast("int"), F.lit(-1))
+    cuts = df.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10000).alias("__cuts"))
+    at = F.size(F.filter("__cuts", lambda c: c < F.col(column)))
+    return df.crossJoin(F.broadcast(cuts)), F.when(F.col(column).isNull(), -1).otherwise(F.coalesce(at, F.lit(0)))
+
+
+def running(df: DataFrame, bucket: Column, order: list[Column], value: Column, name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with the running sum of `value` in an order that agrees with the buckets: summed within a bucket, plus what the
+    buckets before it hold. Only one row for each bucket meets in a window; no task sorts a whole table."""
+    rows = df.withColumns({"__b": bucket, "__v": value}).drop("__cuts")
+    sums = rows.groupBy(*within, "__b").agg(F.sum("__v").alias("__all"))
+    groups = [F.col(c) for c in within] or [F.lit(0)]
+    sums = sums.select(*within, "__b", (F.sum("__all").over(Window.partitionBy(*groups).orderBy("__b")) - F.col("__all")).alias("__before"))
+    own = F.sum("__v").over(Window.partitionBy(*within, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__own", own).join(F.broadcast(sums), [*within, "__b"]).withColumn(name, F.col("__own") + F.col("__before")).drop("__b", "__v", "__own", "__before")
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """`df` with the number of each row, from 1, in the order of its key."""
+    rows, bucket = order_bucket(df, key)
+    return running(rows, bucket, [F.col(key)], F.lit(1), name)
+
+
 def permuted(df: DataFrame, key: str, column: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, key, column): the column's values dealt out anew over the rows, once for each replicate."""
+    """(replicate, key, column): the column's values dealt out anew over the rows, once for each replicate. Places are
+    numbered once; the deal of a replicate is numbered in 4,096 buckets of its hash."""
     reps = df.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
-    wide = df.select(key, column).crossJoin(F.broadcast(reps))
-    place = Window.partitionBy("replicate").orderBy(key)
-    deal = Window.partitionBy("replicate").orderBy(order_key(seed, F.col("replicate"), F.lit(column), F.col(key)), key)
-    ranked = wide.select("replicate", key, column, F.row_number().over(place).alias("i"), F.row_number().over(deal).alias("j"))
-    values = ranked.select("replicate", F.col("j").alias("i"), F.col(column))
-    return ranked.select("replicate", key, "i").join(values, ["replicate", "i"]).select("replicate", key, column)
+    places = numbered(df.select(key, column), key, "i")
+    wide = places.crossJoin(F.broadcast(reps)).withColumn("__o", order_key(seed, F.col("replicate"), F.lit(column), F.col(key)))
+    bucket = F.conv(F.substring("__o", 1, 3), 16, 10).cast("int")
+    values = running(wide.select("replicate", key, column, "__o"), bucket, [F.col("__o"), F.col(key)], F.lit(1), "i", ("replicate",)).select("replicate", "i", column)
+    return wide.select("replicate", key, "i").join(values, ["replicate", "i"]).select("replicate", key, column)
 
 
 def bootstrapped(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
     """(replicate, draw, and the columns of `df`): as many rows as there are, drawn with replacement, for each replicate."""
     spark, n = df.sparkSession, df.count()
-    rows = df.withColumn("__i", F.row_number().over(Window.orderBy(key)) - 1)
+    rows = numbered(df, key, "__i")
     draws = spark.range(replicates * n).select((F.col("id") / n).cast("int").alias("replicate"), (F.col("id") % n).cast("long").alias("draw"))
     pick = F.conv(F.substring(order_key(seed, F.col("replicate"), F.col("draw")), 1, 12), 16, 10).cast("long") % n
-    return draws.withColumn("__i", pick.cast("int")).join(rows, "__i").drop("__i")
+    return draws.withColumn("__i", pick + 1).join(rows, "__i").drop("__i")
+
+
+def replicate_lists(replicates: DataFrame) -> DataFrame:
+    """replicates (metric, replicate, value) to (metric, values): the values of each metric in the order of the replicates."""
+    listed = F.sort_array(F.collect_list(F.struct("replicate", "value")))
+    return replicates.groupBy("metric").agg(F.transform(listed, lambda r: r["value"]).alias("values"))
 
 
 def null_summary(replicates: DataFrame) -> DataFrame:

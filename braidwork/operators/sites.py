@@ -28,13 +28,16 @@ def links(page: DataFrame) -> DataFrame:
     return rows.groupBy("site", "url").agg(F.min_by("text", F.struct("source", "place")).alias("text"))
 
 
-def candidates(found: DataFrame, read: DataFrame | None = None, keep: int = 4, keep_legal: int = 6) -> DataFrame:
+def candidates(found: DataFrame, read: DataFrame | None = None, keep: int = 4, keep_legal: int = 6, guessed: DataFrame | None = None) -> DataFrame:
     """(site, role, url, score, linked, rank): links by role, best first, then those the site itself has (`linked`; without
-    that column all are) before guesses, then the shortest; without localised copies and pages already read."""
+    that column all are) before guesses, then the shortest; without localised copies and pages already read. `guessed` holds rows as `discovery` gives them."""
     found = found if "linked" in found.columns else found.withColumn("linked", F.lit(True))
     scored = urls.with_best_role(found.where(~urls.localised(F.col("url"))), F.col("url"), F.col("text"))
     place = F.array_position(F.array(*[F.lit(r) for r, _, _ in urls.ROLE_RULES]), F.col("role"))
     best = scored.groupBy("site", "url").agg(F.max(F.struct("score", (-place).alias("p"), "role")).alias("r"), F.max("linked").alias("linked")).select("site", "url", "r.role", "r.score", "linked")
+    if guessed is not None:
+        every = best.unionByName(guessed.select("site", "url", "role", "score", "linked"))
+        best = every.groupBy("site", "url", "role").agg(F.max("score").alias("score"), F.max("linked").alias("linked"))
     if read is not None:
         best = best.join(read.select("site", "url"), ["site", "url"], "left_anti")
     w = Window.partitionBy("site", "role").orderBy(F.desc("score"), F.desc("linked"), F.length("url"), "url")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as pt
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import carriers, evidence, homology, matrix, profiles, scoring, sites
+from ..operators import carriers, diligence, discovery, evidence, homology, matrix, profiles, scoring, sites
 from ..sources import loaders, sinks
 from ..streaming import cadence as stream
 from . import fixtures
@@ -505,3 +505,137 @@ def thin_pages(t):
 @query(_values("site, name", "('brightloom.com', 'Plausible')"))
 def technologies_found(t):
     return profiles.technologies(_company_pages(t)).select("site", "name")
+
+
+def _rows(t, rows: list, schema: str):
+    return t("region").sparkSession.createDataFrame(rows, schema)
+
+
+@query(_values("role, url, score", "('legal', 'https://brightloom.com/pages/privacy-policy', 1.0::DOUBLE)", "('legal', 'https://brightloom.com/policies/privacy-policy', 0.97)", "('legal', 'https://brightloom.com/privacy', 0.2)", "('legal', 'https://brightloom.com/legal', 0.14)", "('contact', 'https://brightloom.com/contact', 0.2)", "('contact', 'https://brightloom.com/contact-us', 0.19)", "('contact', 'https://brightloom.com/pages/contact', 1.0)", "('contact', 'https://brightloom.com/pages/contact-us', 0.99)"))
+def guessed_paths(t):
+    homes = _rows(t, [("brightloom.com", "https://brightloom.com/", ["Shopify"])], "site string, url string, platforms array<string>")
+    some = discovery.guesses(homes).where("role = 'contact' OR url rlike '/(privacy|legal|privacy-policy)$' AND role = 'legal' AND url NOT LIKE '%com/privacy-policy'")
+    return some.select("role", "url", F.round("score", 2).alias("score"))
+
+
+@query(_values("site, role, url, score, linked", "('oakpipe.com', 'careers', 'https://oakpipe.com/jobs/', 2.9::DOUBLE, false)", "('oakpipe.com', 'careers', 'https://oakpipe.com/jobs', 2.9, false)", "('oakpipe.com', 'product', 'https://oakpipe.com/services/', 2.9, false)", "('oakpipe.com', 'product', 'https://oakpipe.com/services', 2.9, false)", "('oakpipe.com', 'product', 'https://oakpipe.com/services/work/', 2.5, false)", "('oakpipe.com', 'product', 'https://oakpipe.com/services/work', 2.5, false)"))
+def index_paths(t):
+    found = _rows(t, [("oakpipe.com", "https://oakpipe.com/jobs/plumber", ""), ("oakpipe.com", "https://oakpipe.com/services/work/mill", ""), ("oakpipe.com", "https://oakpipe.com/about", "About"), ("oakpipe.com", "https://oakpipe.com/our/work", "")], "site string, url string, text string")
+    return discovery.index_guesses(found)
+
+
+_SITEMAPS = [
+    ("oakpipe.com", "https://oakpipe.com/sitemap.xml", "<sitemapindex><sitemap><loc> https://oakpipe.com/b.xml </loc></sitemap><sitemap><loc>https://elsewhere.org/c.xml</loc></sitemap><sitemap><LOC>https://oakpipe.com/d.xml</LOC></sitemap></sitemapindex>"),
+    ("oakpipe.com", "https://oakpipe.com/a.xml", "<urlset><loc>https://oakpipe.com/jobs#top</loc><loc>https://oakpipe.com/login</loc></urlset>"),
+    ("oakpipe.com", "https://oakpipe.com/b.xml", "<urlset><loc>https://oakpipe.com/pipes?utm_source=x</loc><loc>https://oakpipe.com/jobs</loc></urlset>"),
+    ("oakpipe.com", "https://oakpipe.com/d.xml", "<urlset><loc>https://elsewhere.org/x</loc><loc>https://www.oakpipe.com</loc></urlset>"),
+]
+
+
+@query(_values("site, place, url", "('oakpipe.com', 1, 'https://oakpipe.com/jobs')", "('oakpipe.com', 2, 'https://oakpipe.com/pipes')", "('oakpipe.com', 3, 'https://www.oakpipe.com/')"))
+def sitemap_pages(t):
+    roots = [("oakpipe.com", 1, "https://oakpipe.com/sitemap.xml"), ("oakpipe.com", 2, "https://elsewhere.org/s.xml"), ("oakpipe.com", 3, "https://oakpipe.com/a.xml")]
+    return discovery.sitemap_pages(_rows(t, _SITEMAPS, "site string, url string, body string"), _rows(t, roots, "site string, place int, url string"))
+
+
+@query(_values("url, allowed, delay", "('https://oakpipe.com/', true, 15.0::DOUBLE)", "('https://oakpipe.com/private/x', false, 15.0)", "('https://brightloom.com/', true, 4.0)", "('https://tidewick.com/any', true, 1.0)"))
+def robots_rules(t):
+    rows = [("User-agent: *\nDisallow: /private\nCrawl-delay: 40", "https://oakpipe.com/"), ("User-agent: *\nDisallow: /private\nCrawl-delay: 40", "https://oakpipe.com/private/x"), ("User-agent: *\nCrawl-delay: 2\nRequest-rate: 5/20", "https://brightloom.com/"), (None, "https://tidewick.com/any")]
+    return discovery.robots(_rows(t, rows, "robots string, url string"), "braidwork").drop("robots")
+
+
+@query(_values("id, text", "(1, 'café')", "(2, 'café')", "(3, '<meta charset=\"iso-8859-1\">é')", "(4, 'naïve')", "(5, NULL)"))
+def charset_decoding(t):
+    rows = [(1, bytearray("﻿café".encode()), "text/html; charset=latin-1"), (2, bytearray("café".encode("latin-1")), "text/html; charset=ISO-8859-1"), (3, bytearray('<meta charset="iso-8859-1">é'.encode("latin-1")), "text/html"), (4, bytearray("naïve".encode()), "text/html; charset=no-such"), (5, None, "text/html")]
+    return _rows(t, rows, "id int, raw binary, kind string").select("id", discovery.decode("raw", "kind").alias("text"))
+
+
+@query(_values("site, n_links, words, client_rendered", "('a.com', 11::BIGINT, 401::BIGINT, true)", "('b.com', 12, 900, false)", "('c.com', 3, 400, false)"))
+def client_rendered(t):
+    return discovery.client_rendered(_rows(t, [("a.com", 11, 401), ("b.com", 12, 900), ("c.com", 3, 400)], "site string, n_links long, words long"))
+
+
+def _asked(t):
+    rows = [
+        ("brightloom.com", "saas", 5, 3, 0, None, 200, 1, ["careers"], ["Stripe"], ["SOC 2"], True),
+        ("oakpipe.com", "local_services", 1, 0, 2, None, None, 4, ["blog"], None, None, None),
+        ("tidewick.com", "unknown", 0, 0, 0, 4, None, None, None, [], [], False),
+    ]
+    return _rows(t, rows, "site string, model string, people int, prices int, customers int, open_roles int, last_content_age int, copyright_age int, roles_read array<string>, dependency_names array<string>, compliance_names array<string>, customer_claim boolean")
+
+
+_OPEN = {
+    "brightloom.com": ["Hiring activity — the careers page listed nothing countable"],
+    "oakpipe.com": ["Pricing — nothing public was found", "Hiring activity — no careers page was found", "Publishing cadence — the blog carried no readable dates"],
+    "tidewick.com": ["Pricing — nothing public was found", "Who owns and runs the business", "Publishing cadence — no dated content was found", "Customer base — no customers or counts are named publicly", "How the business actually charges — the site does not make it clear"],
+}
+_RAISED = {
+    "brightloom.com": ("saas", ["The site runs on Stripe — who holds the account, and does it transfer at close?", "Can you share the current audit reports behind the SOC 2 claims?"]),
+    "oakpipe.com": ("local_services", ["The site shows little recent activity — is the business still trading at normal volume?", "Who else works in the business, as employees or contractors, and on what terms?"]),
+    "tidewick.com": ("", ["The site shows little recent activity — is the business still trading at normal volume?", "Who else works in the business, as employees or contractors, and on what terms?"]),
+}
+
+
+def _places(column: str, lists: dict) -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    return _values(f"site, place, {column}", *[f"({quote(site)}, {i}, {quote(x)})" for site, xs in lists.items() for i, x in enumerate(xs)])
+
+
+@query(_places("unknown", {site: diligence.STRUCTURAL_UNKNOWNS + xs for site, xs in _OPEN.items()}))
+def open_unknowns(t):
+    return diligence.unknowns(_asked(t))
+
+
+@query(_places("question", {site: (diligence.MODEL_QUESTIONS.get(m, []) + xs + diligence.UNIVERSAL_QUESTIONS)[:14] for site, (m, xs) in _RAISED.items()}))
+def owner_questions(t):
+    return diligence.questions(_asked(t))
+
+
+@query(_values("site, place, name, title", "('brightloom.com', 0, 'Ines Farrow', 'Co-founder and CEO')", "('brightloom.com', 1, 'Amos Reed', 'Managing Director')", "('brightloom.com', 2, 'Bela Kint', 'CTO')", "('brightloom.com', 3, 'Cora Lund', 'Chief Weaver')", "('brightloom.com', 4, 'Dov Marsh', 'Head of Looms')"))
+def leadership_order(t):
+    people = [("brightloom.com", 1, "Bela Kint", "CTO"), ("brightloom.com", 2, "Dov Marsh", "Head of Looms"), ("brightloom.com", 3, "Ola Pike", "Director of Thread"), ("brightloom.com", 4, "Cora Lund", "Chief Weaver"), ("brightloom.com", 5, "Amos Reed", "Managing Director"), ("brightloom.com", 6, "Ines Farrow", "Co-founder and CEO"), ("brightloom.com", 7, "Uri Vance", None)]
+    return diligence.leadership(_rows(t, people, "site string, ord int, name string, title string")).select("site", F.posexplode("leaders").alias("place", "l")).select("site", "place", "l.name", "l.title")
+
+
+@query(_values("site, category, names", "('brightloom.com', 'Analytics', ['Plausible'])"))
+def technologies_by_category(t):
+    return diligence.by_category(profiles.technologies(_company_pages(t)))
+
+
+_RECORD = """<table><tr><th>Legal Name:</th><td>LONGSTRIDE&nbsp;HAULING  LLC</td></tr><tr><th>DBA Name:</th><td></td></tr><tr><th>USDOT Number:</th><td>1234567</td></tr><tr><th>USDOT Status:</th><td>INACTIVE</td></tr>
+<tr><th>Operating Authority Status:</th><td>AUTHORIZED FOR Property *see below</td></tr><tr><th>Out of Service Date:</th><td>None</td></tr><tr><th>Power Units:</th><td>1,204</td></tr><tr><th>Drivers:</th><td>--</td></tr>
+<tr><th>MCS-150 Form Date:</th><td>3/9/2023</td></tr><tr><th>Phone:</th><td>(614) 555-0101</td></tr><tr><th>Phone:</th><td>later</td></tr></table>"""
+
+
+def _carriers(t):
+    return carriers.records(_rows(t, [("1234567", "https://carriers.example/1234567", _RECORD), ("9", "https://carriers.example/9", "<p>No record</p>")], "usdot string, url string, html string"))
+
+
+@query("SELECT '1234567' AS usdot, 'LONGSTRIDE HAULING LLC' AS legal_name, 'AUTHORIZED FOR Property' AS operating_authority, '' AS out_of_service_date, 1204 AS power_units, NULL::INT AS drivers, DATE '2023-03-09' AS mcs150_date, '(614) 555-0101' AS phone, false AS active")
+def carrier_records(t):
+    return _carriers(t).select("usdot", "legal_name", "operating_authority", "out_of_service_date", "power_units", "drivers", "mcs150_date", "phone", "active")
+
+
+@query(_values("usdot, place, field, value, confidence", "('1234567', 0, 'fleet.usdot', 'USDOT 1234567 — LONGSTRIDE HAULING LLC', 0.91::DOUBLE)", "('1234567', 1, 'fleet.power_units', '1204', 0.95)", "('1234567', 2, 'fleet.operating_status', 'INACTIVE', 0.95)", "('1234567', 3, 'fleet.operating_authority', 'AUTHORIZED FOR Property', 0.95)", "('1234567', 4, 'fleet.phone', '(614) 555-0101', 0.9)", "('1234567', 5, 'fleet.mcs150_date', '2023-03-09', 0.9)"))
+def carrier_evidence(t):
+    return carriers.evidence_rows(_carriers(t).withColumn("match_score", F.lit(0.91))).drop("url")
+
+
+def _briefs(t):
+    facts = _asked(t)
+    return sinks.briefs(scoring.scores(facts), scoring.flags(facts), diligence.unknowns(facts), diligence.questions(facts))
+
+
+@query()
+def markdown_briefs(t):
+    return sinks.markdown_briefs(_briefs(t))
+
+
+@query()
+def json_briefs(t):
+    return sinks.json_briefs(_briefs(t))
+
+
+@query()
+def html_briefs(t):
+    return sinks.html_briefs(_briefs(t))

@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators import matrix
 
 _FORMATS = {"csv": "csv", "tsv": "tsv", "tab": "tsv", "txt": "tsv", "parquet": "parquet", "pq": "parquet", "npy": "npy", "npz": "npz"}
 
@@ -56,5 +57,5 @@ def as_frame(spark: SparkSession, data) -> DataFrame:
 def prune_cache(files: DataFrame, now, ttl_seconds: float, max_bytes: int) -> DataFrame:
     """files (path, bytes, modified): those to keep: not expired, and the newest up to the size limit."""
     fresh = files.where(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("modified") <= ttl_seconds)
-    held = Window.orderBy(F.desc("modified"), "path").rowsBetween(Window.unboundedPreceding, 0)
-    return fresh.withColumn("held", F.sum("bytes").over(held)).where(F.col("held") <= max_bytes)
+    rows, bucket = matrix.order_bucket(fresh, "modified")
+    return matrix.running(rows, -bucket, [F.desc("modified"), F.col("path")], F.col("bytes"), "held").where(F.col("held") <= max_bytes)
