@@ -597,9 +597,9 @@ def leadership_order(t):
     return diligence.leadership(_rows(t, people, "site string, ord int, name string, title string")).select("site", F.posexplode("leaders").alias("place", "l")).select("site", "place", "l.name", "l.title")
 
 
-@query(_values("site, category, names", "('brightloom.com', 'Analytics', ['Plausible'])"))
+@query(_values("site, category, names", "('brightloom.com', 'Analytics', 'Plausible')"))
 def technologies_by_category(t):
-    return diligence.by_category(profiles.technologies(_company_pages(t)))
+    return diligence.by_category(profiles.technologies(_company_pages(t))).withColumn("names", F.array_join("names", ", "))
 
 
 _RECORD = """<table><tr><th>Legal Name:</th><td>LONGSTRIDE&nbsp;HAULING  LLC</td></tr><tr><th>DBA Name:</th><td></td></tr><tr><th>USDOT Number:</th><td>1234567</td></tr><tr><th>USDOT Status:</th><td>INACTIVE</td></tr>
@@ -611,9 +611,9 @@ def _carriers(t):
     return carriers.records(_rows(t, [("1234567", "https://carriers.example/1234567", _RECORD), ("9", "https://carriers.example/9", "<p>No record</p>")], "usdot string, url string, html string"))
 
 
-@query("SELECT '1234567' AS usdot, 'LONGSTRIDE HAULING LLC' AS legal_name, 'AUTHORIZED FOR Property' AS operating_authority, '' AS out_of_service_date, 1204 AS power_units, NULL::INT AS drivers, DATE '2023-03-09' AS mcs150_date, '(614) 555-0101' AS phone, false AS active")
+@query("SELECT '1234567' AS usdot, 'LONGSTRIDE HAULING LLC' AS legal_name, 'AUTHORIZED FOR Property' AS operating_authority, '' AS out_of_service_date, 1204 AS power_units, true AS drivers_unknown, '2023-03-09' AS mcs150_date, '(614) 555-0101' AS phone, false AS active")
 def carrier_records(t):
-    return _carriers(t).select("usdot", "legal_name", "operating_authority", "out_of_service_date", "power_units", "drivers", "mcs150_date", "phone", "active")
+    return _carriers(t).select("usdot", "legal_name", "operating_authority", "out_of_service_date", "power_units", F.col("drivers").isNull().alias("drivers_unknown"), F.col("mcs150_date").cast("string").alias("mcs150_date"), "phone", "active")
 
 
 @query(_values("usdot, place, field, value, confidence", "('1234567', 0, 'fleet.usdot', 'USDOT 1234567 — LONGSTRIDE HAULING LLC', 0.91::DOUBLE)", "('1234567', 1, 'fleet.power_units', '1204', 0.95)", "('1234567', 2, 'fleet.operating_status', 'INACTIVE', 0.95)", "('1234567', 3, 'fleet.operating_authority', 'AUTHORIZED FOR Property', 0.95)", "('1234567', 4, 'fleet.phone', '(614) 555-0101', 0.9)", "('1234567', 5, 'fleet.mcs150_date', '2023-03-09', 0.9)"))
