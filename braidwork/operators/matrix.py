@@ -116,7 +116,8 @@ def order_bucket(df: DataFrame, column: str, ranges: int = 256) -> tuple[DataFra
 
 def running(df: DataFrame, bucket: Column, order: list[Column], value: Column, name: str, within: tuple[str, ...] = ()) -> DataFrame:
     """`df` with the running sum of `value` in an order that agrees with the buckets: summed within a bucket, plus what the
-    buckets before it hold. Only one row for each bucket meets in a window; no task sorts a whole table."""
+    buckets before it hold. Only one row for each bucket meets in a global window. Texts that share their first two bytes, and rows
+    with equal keys, are sorted in one task."""
     rows = df.withColumns({"__b": bucket, "__v": value}).drop("__cuts")
     sums = rows.groupBy(*within, "__b").agg(F.sum("__v").alias("__all"))
     groups = [F.col(c) for c in within] or [F.lit(0)]
