@@ -49,12 +49,16 @@ def name_similarity(a: Column, b: Column, ratio: Column | None = None) -> Column
 
 def match_carriers(companies: DataFrame, candidates: DataFrame) -> DataFrame:
     """companies (company, name, state) and candidates (company, usdot, legal_name, dba_name, state) to one row for each
-    company: the best candidate, its score, and why it is refused, if it is."""
+    company: the best candidate, its score, and why it is refused, if it is. If companies have a city and candidates a
+    physical_address, an address that names the city adds a tenth."""
     c = candidates.withColumnRenamed("state", "carrier_state")
     both = companies.join(c, "company", "left").withColumns({k: normalised_name(F.col(v)) for k, v in (("n", "name"), ("l", "legal_name"), ("d", "dba_name"))})
     named = F.greatest(name_similarity(F.col("n"), F.col("l")), name_similarity(F.col("n"), F.col("d")))
     s, t = F.upper(F.coalesce("state", F.lit(""))), F.upper(F.coalesce("carrier_state", F.lit("")))
-    both = both.withColumn("named", named).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("named") * 0.8 + F.when((s == "") | (t == ""), 0.0).when(s == t, 0.15).otherwise(-0.25))))
+    town = F.lower(F.coalesce("city", F.lit(""))) if "city" in companies.columns else F.lit("")
+    address = F.lower(F.coalesce("physical_address", F.lit(""))) if "physical_address" in candidates.columns else F.lit("")
+    near = F.when((town != "") & F.contains(address, town), 0.1).otherwise(0.0)
+    both = both.withColumn("named", named).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("named") * 0.8 + F.when((s == "") | (t == ""), 0.0).when(s == t, 0.15).otherwise(-0.25) + near)))
     w = Window.partitionBy("company").orderBy(F.desc("score"), "usdot")
     best = both.withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("rank = 1")
     why = (

@@ -133,10 +133,12 @@ def metrics(diagram: DataFrame) -> DataFrame:
 
 
 def betti_curve(diagram: DataFrame, dim: int, resolution: int = 200) -> DataFrame:
-    """(cloud, step, x, betti) on an even grid from the first birth to the last death; a flat range is widened by one."""
+    """(cloud, step, x, betti) on an even grid from the first birth to the last death; a flat range is widened by one. A cloud
+    of the diagram without a finite bar of this dimension has zeros from 0 to 1."""
     last = resolution - 1
     finite = diagram.where(f"dim = {dim} AND death < double('inf')")
-    ends = finite.groupBy("cloud").agg(F.min("birth").alias("lo"), F.max("death").alias("hi"))
+    of = lambda c: F.when(F.expr(f"dim = {dim} AND death < double('inf')"), F.col(c))
+    ends = diagram.groupBy("cloud").agg(F.coalesce(F.min(of("birth")), F.lit(0.0)).alias("lo"), F.coalesce(F.max(of("death")), F.lit(1.0)).alias("hi"))
     ends = ends.withColumn("hi", F.when(F.abs(F.col("hi") - F.col("lo")) <= 1e-9 * F.greatest(F.abs("hi"), F.abs("lo")), F.col("lo") + 1).otherwise(F.col("hi")))
     at = lambda k: F.when(k >= last, F.col("hi")).otherwise(F.col("lo") + k * ((F.col("hi") - F.col("lo")) / last))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braidwork.operators import discovery, homology, matrix, sites
+from braidwork.operators import carriers, discovery, homology, matrix, sites
 from braidwork.sources import loaders, sinks
 
 CASES = {
@@ -93,3 +93,22 @@ def test_guesses_stand_behind_links(spark):
 
 def test_html_is_escaped(spark):
     assert spark.range(1).select(sinks.escaped(F.lit("<a href='x'>\"&\"</a>")).alias("t")).first().t == "&lt;a href=&#39;x&#39;&gt;&#34;&amp;&#34;&lt;/a&gt;"
+
+
+def test_clouds_without_bars_have_flat_curves(spark):
+    bars = [("a", 0, 0.0, 2.0), ("b", 1, 0.0, 2.0), ("c", 0, 0.0, float("inf"))]
+    got = homology.betti_curve(spark.createDataFrame(bars, "cloud string, dim int, birth double, death double"), 0, 5).collect()
+    assert sorted((r.cloud, r.x, r.betti) for r in got) == [("a", i / 2, int(i < 4)) for i in range(5)] + [(c, i / 4, 0) for c in "bc" for i in range(5)]
+
+
+def test_a_carrier_in_the_same_city_is_surer(spark):
+    companies = spark.createDataFrame([("x", "Longstride Hauling", "OH", "Dublin"), ("y", "Longstride Hauling", "OH", "Salem")], "company string, name string, state string, city string")
+    found = spark.createDataFrame([(c, "1", "Longstride Freight Hauling", "", "OH", "1 Elm St, DUBLIN, OH") for c in "xy"], "company string, usdot string, legal_name string, dba_name string, state string, physical_address string")
+    got = {r.company: r.score for r in carriers.match_carriers(companies, found).collect()}
+    without = {r.company: r.score for r in carriers.match_carriers(companies.drop("city"), found).collect()}
+    assert got["x"] == pytest.approx(min(1.0, got["y"] + 0.1)) and without["x"] == without["y"] == got["y"]
+
+
+def test_replicates_are_listed_in_order(spark):
+    rows = spark.createDataFrame([("m", 2, 0.2), ("m", 0, 0.5), ("m", 1, 0.1)], "metric string, replicate int, value double")
+    assert matrix.replicate_lists(rows).first()["values"] == [0.5, 0.1, 0.2]
