@@ -153,7 +153,8 @@ def industries(page: DataFrame, order: str = "url", most: int = 3) -> DataFrame:
     return profiles.corpus(some, 40_000, "nth").select("site", F.transform(F.slice(listed, 1, most), lambda x: x["label"]).alias("tags"))
 
 
-def thin(page: DataFrame) -> DataFrame:
-    """(site, url, words, links, thin): whether a page looks like a shell that scripts fill: few words or few links."""
+def thin(page: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(site, url, words, links, thin) after the columns in `keep`, one row for each page: whether it looks like a shell that
+    scripts fill: few words or few links."""
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""))
-    return page.select("site", "url", words.alias("words"), F.size("links").alias("links")).withColumn("thin", (F.col("words") < 250) | (F.col("links") < 15))
+    return page.select(*keep, "site", "url", words.alias("words"), F.size("links").alias("links")).withColumn("thin", (F.col("words") < 250) | (F.col("links") < 15))

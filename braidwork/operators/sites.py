@@ -14,10 +14,10 @@ from ..functions.page import parse_page
 MULTI = ("legal", "product", "careers", "customers")
 
 
-def parsed(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame:
-    """pages with site, url, and what one pass over the markup gives; the kernel runs once for each page."""
-    page = pages.select(urls.host_of(F.col(url)).alias("site"), F.col(url).alias("url"), F.col(markup).alias("html"), parse_page(F.col(markup)).alias("p"))
-    return page.select("site", "url", "html", "p.*").withColumn("words", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")))
+def parsed(pages: DataFrame, url: str = "url", markup: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """pages with site, url, the columns in `keep`, and what one pass over the markup gives; the kernel runs once for each page."""
+    page = pages.select(*keep, urls.host_of(F.col(url)).alias("site"), F.col(url).alias("url"), F.col(markup).alias("html"), parse_page(F.col(markup)).alias("p"))
+    return page.select(*keep, "site", "url", "html", "p.*").withColumn("words", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")))
 
 
 def links(page: DataFrame) -> DataFrame:
