@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 ROW_FILTER_BITS = 1 << 24
 
@@ -107,6 +109,14 @@ def buckets(df: DataFrame, per_bucket: int = 24 << 20) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(known // per_bucket, 1 << 20), 1)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table. They go by Arrow: createDataFrame() of a list runs Python on the executors, whose
+    workers are others than those of the kernels and stay in memory beside them."""
+    kinds = StructType.fromDDL(schema)
+    form = to_arrow_schema(kinds)
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(form)], schema=form), kinds)
+
+
 class RowFilter:
     """A fixed-size bitmap of row keys (2 MB), so that rows which surely lack a match skip a shuffle.
 
@@ -119,10 +129,15 @@ class RowFilter:
         self.bits, self.hashed = bits, hashed
         at = self.position(F.col(column))
         rows = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).collect()
-        self.map = np.zeros(bits // 8 + 4096, np.uint8)
-        for b, m in rows:
-            part = np.frombuffer(m, np.uint8)
-            self.map[(b - 1) * 4096 : (b - 1) * 4096 + len(part)] = part
+        self.pages = [(b, np.frombuffer(bytes(m).ljust(4096, b"\0"), np.int64)) for b, m in rows]
+
+    @property
+    def map(self) -> np.ndarray:
+        """All bits, for has()."""
+        out = np.zeros(self.bits // 8 + 4096, np.uint8)
+        for b, page in self.pages:
+            out[(b - 1) * 4096 : b * 4096] = page.view(np.uint8)
+        return out
 
     def position(self, column):
         return F.pmod(column if self.hashed else F.xxhash64(column), F.lit(self.bits)) + F.lit(1)
@@ -134,18 +149,13 @@ class RowFilter:
         return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
     def keep(self, df: DataFrame, column: str, present: bool = True) -> DataFrame:
-        """Rows whose key may be among the keys (or, present=False, surely is not)."""
-        spark, schema = df.sparkSession, df.schema
-        shared = spark.sparkContext.broadcast(self.map)
-        at = "__at"
-        while at in df.columns:
-            at += "_"
-
-        def sift(batches):
-            bitmap = shared.value
-            for batch in batches:
-                p = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64) - 1
-                hit = (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(hit if present else ~hit))
-
-        return df.withColumn(at, self.position(F.col(column))).mapInArrow(sift, schema)
+        """Rows whose key may be among the keys (or, present=False, surely is not). No Python runs on the executors: a kernel
+        behind or before this one would need a second worker for each core."""
+        page = "__page"
+        while {page, f"{page}_bits"} & {*df.columns}:
+            page += "_"
+        pages = local_table(df.sparkSession, self.pages, f"{page} long, {page}_bits array<long>")
+        at = self.position(F.col(column))
+        bit = F.bitmap_bit_position(at)
+        held = F.getbit(F.get(f"{page}_bits", F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return df.join(F.broadcast(pages), (F.bitmap_bucket_number(at) == F.col(page)) & held, "left_semi" if present else "left_anti")

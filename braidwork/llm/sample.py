@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bound_batches
+from .cluster import bound_batches, local_table
 from .words import pieces, release
 
 PER_CLASS = 3000
@@ -35,7 +35,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "
     if not chosen:
         return [], np.zeros(0), np.ones(2)
     every, taken = dict(known.groupBy("y").count().collect()), Counter(r.y for r in chosen)
-    keys = docs.sparkSession.createDataFrame(chosen, "k long, y int")
+    keys = local_table(docs.sparkSession, chosen, "k long, y int")
     rows = docs.where(F.octet_length(text) <= MOST_BYTES).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(keys), "k").select("k", "t", "y").collect()
     rows.sort(key=lambda r: (hash_order(r.k), r.k, r.t))
     return [r.t for r in rows], np.array([r.y for r in rows], np.float64), np.array([every[v] / taken[v] if taken[v] else 1.0 for v in (0, 1)])

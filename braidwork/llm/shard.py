@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .cluster import local_table
+
 SHARDS = 24
 VNODES = 64
 CELLS = 1 << 14
@@ -84,7 +86,7 @@ def shard_rows(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: s
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("__key"), (F.octet_length(body).cast("long") + 8).alias("__size"), F.crc32(body).alias("__crc"), place.alias("__place"), cell.alias("__cell"), *carry)
     rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__cell").orderBy("__place", "__key", "__crc", "__size")) - 1)
-    table = spark.createDataFrame(ranges, "__cell int, __from long, __to long, __shard int, __slot long")
+    table = local_table(spark, ranges, "__cell int, __from long, __to long, __shard int, __slot long")
     by_cell = table.groupBy("__cell").agg(F.sort_array(F.collect_list(F.struct("__from", "__to", "__shard", "__slot"))).alias("__ranges"))
     found = F.filter("__ranges", lambda x: (x["__from"] <= F.col("__rank")) & (F.col("__rank") < x["__to"]))[0]
     rows = rows.join(F.broadcast(by_cell), "__cell").withColumn("__found", found)

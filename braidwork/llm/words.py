@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD_BASE = 0xD6E8FEB86659FD93
@@ -40,10 +40,10 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     table = _TABLES.get(base)
     if table is None or len(table) < n:
-        table = np.full(1 << max(10, int(n).bit_length()), base, U64)
+        table = np.full(1 << max(10, (int(n) - 1).bit_length()), base, U64)
         table[0] = 1
         table = np.multiply.accumulate(table)
-        if len(table) <= 1 << 21:
+        if len(table) <= CHUNK_BYTES:  # longer ones, for single long documents, are not kept
             _TABLES[base] = table
     return table[:n]
 
