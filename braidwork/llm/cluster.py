@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -16,7 +17,9 @@ ROW_FILTER_BITS = 1 << 24
 
 
 BATCH_ROWS = 2000
+TRIM_S = 5
 _OWN: dict[str, str] = {}
+_TRIMMED: dict[str, float] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,11 +48,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(name, rows)
+    trim_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Give memory that the C allocator of the driver's JVM holds back to the system, every TRIM_S seconds at most: each of the
+    threads that plan and compile queries leaves some in an arena of its own. A heap that has grown over half of its limit is
+    collected first, as it shrinks by that. False where nothing was trimmed: too early, or a JVM without that command (its own,
+    jcmd System.trim_native_heap). No setting is changed."""
+    app, now = spark.sparkContext.applicationId, time.monotonic()
+    if now - _TRIMMED.get(app, -TRIM_S) < TRIM_S:
+        return False
+    _TRIMMED[app] = now
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        jvm.java.lang.System.gc()
+    try:
+        named = lambda c: jvm.java.lang.Class.forName(c)
+        kinds = new_array(jvm.java.lang.Class, 4)
+        kinds[0], kinds[1], kinds[2], kinds[3] = (named(c) for c in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+        given = new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # By the interface: the class behind it is not open to reflection.
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Exception:  # another JVM or C library
+        return False
+    return True
+
+
 def bound_batches(spark: SparkSession) -> None:
     """For operators whose result is a kernel over texts that runs only when the caller reads it: the session's Arrow
     batches hold BATCH_ROWS rows at most from now on (a smaller setting stays), as vectors of long texts are what an
